@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ``str.translate`` table that lower-cases A-Z and nothing else.
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
-
 #: Words are runs of anything but the six ASCII blanks.
 WORD_PATTERN = "[^\x20\x09-\x0d]+"
 
@@ -37,7 +35,7 @@ def cut(df: DataFrame) -> DataFrame:
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``; used only to choose partition counts."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString())
+    return int(str(size))
 
 
 def fan_out(df: DataFrame, bytes_each: int, least: int = 32, most: int = 65536) -> int:
@@ -56,3 +54,15 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 
 def shuffle_width(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a compressed table in the shared folder and read it back.
+
+    Like ``cut``, but columnar: for large results that are read more than once.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

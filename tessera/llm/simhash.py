@@ -16,7 +16,6 @@ point within ``r / 2`` of both, and two that share such a point are within
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import ASCII_LOWER, WORD_PATTERN, cut
+from .common import cut, row_key
 
 BITS = 64
 RADIUS = 4
@@ -36,7 +35,6 @@ SEED = 42
 #: Buckets of more distinct fingerprints go through midpoints.
 BUCKET_ROWS = 512
 
-_WORDS = re.compile(WORD_PATTERN)
 _BIT_VALUES = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
 
 
@@ -44,11 +42,12 @@ def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
     """Majority fingerprint over the XXH64 of all shingles, repeats included."""
     import xxhash
 
-    words = _WORDS.findall(text.translate(ASCII_LOWER))
+    # On bytes, lower() and split() know exactly A-Z and the six ASCII blanks.
+    words = text.encode().lower().split()
     if not words:
         return 0
     digest = xxhash.xxh64_intdigest
-    joined = " ".join(words).encode()
+    joined = b" ".join(words)
     n = max(1, len(words) - size + 1)
     if n == 1:
         return digest(joined, seed)
@@ -215,18 +214,33 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, radius: int = RADIUS, text: str = "text") -> DataFrame:
-    """``doc_id long, fp long, component_id long`` for every row of ``df``.
+    """``doc_id, _tkey, fp, root, component_id`` for every row of ``df``.
 
     Exact copies share a fingerprint, so links are sought among distinct
-    fingerprints only, and copies cost one row each.  ``component_id`` is the
-    least non-null ``doc_id`` reachable; it is null only where all are null.
+    fingerprints only, and copies cost one row each.  ``root`` names the group
+    by its least fingerprint; ``component_id`` is the least non-null ``doc_id``
+    reachable, null only where all are null.
     """
-    rows = cut(fingerprints(df.select("doc_id", text), text).select("doc_id", "fp"))
+    rows = cut(fingerprints(df.select("doc_id", text), text).select(*row_key(text=text), "fp"))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = components(links(classes.select("fp"), radius))
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "low"
     )
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = named.join(lows, "root").select("fp", "component_id")
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = named.join(lows, "root").select("fp", "root", "component_id")
+    return rows.join(ids, "fp").select("doc_id", "_tkey", "fp", "root", "component_id")
+
+
+def representatives(df: DataFrame, radius: int = RADIUS, text: str = "text") -> DataFrame:
+    """One row of ``df`` for each group: the least id, then the least text hash.
+
+    Rows without an id stay only where no row of their group has one.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_tkey")
+    keep = near_duplicates(df, radius, text).groupBy("root").agg(F.min(place).alias("at")).select(
+        F.col("at.doc_id").alias("_keep"), F.col("at._tkey").alias("_kept")
+    )
+    tagged = df.withColumn("_tkey", F.xxhash64(text))
+    some = tagged.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_tkey") == F.col("_kept")), "left_semi")
+    return some.dropDuplicates(["doc_id", "_tkey"]).drop("_tkey")
