@@ -4,7 +4,10 @@ A document is a sequence of words and one end token.  A word seen in training
 keeps most of its relative frequency; the rest of the mass is shared by all
 possible words through a subword lattice: the pieces of an existing vocabulary
 span every segmentation of the word, and a forward recursion in log space sums
-their weights into the word's marginal probability.  The pieces are never
+their weights into the word's marginal probability.  Frequencies are kept apart
+for a few groups of documents (the largest languages; all others together), and
+a document's probability is the sum over groups of the group's share times the
+document's probability in it: the group of a scored document is not looked at.  The pieces are never
 trained anew; the weights the vocabulary file gives them are the prior, and
 expectation-maximisation over all distinct training words sharpens them.
 
@@ -40,6 +43,9 @@ CHUNK_BYTES, CHUNK_DOCS, BUCKET_BYTES = 6 << 20, 8192, 12 << 20
 ROUNDS = 2
 #: Prior share of ends of a word among continuations, and of the end token among tokens.
 END_OF_WORD, END_OF_TEXT = 0.3, 0.02
+#: Most groups with frequencies of their own, and how much of a group's spare mass goes to
+#: words known from elsewhere.
+GROUPS, FROM_ELSEWHERE = 8, 0.1
 #: Pseudo-counts that the vocabulary's own weights stand for.
 PRIOR_COUNT = 2000.0
 
@@ -245,79 +251,95 @@ def _unplanes(data: bytes, width: int = 4) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
 
 
-CHUNK_SCHEMA = "chunk long, bucket int, doc_ids array<long>, held array<boolean>, n_words array<int>, codes binary, words binary, places binary, counts binary"
+CHUNK_SCHEMA = "chunk long, bucket int, doc_ids array<long>, held array<boolean>, n_words array<int>, texts array<long>, codes binary, words binary, places binary, counts binary"
 _NAMES = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
 
 
-def _chunk_rows(number: int, rows: list[tuple], buckets: int) -> pa.RecordBatch:
+def _chunk_rows(number: int, rows: list[tuple], buckets: int, groups: int) -> pa.RecordBatch:
     numbers: dict[bytes, int] = {}
-    sizes = np.array([len(w) for _, w in rows], np.int64)
-    codes = np.fromiter((numbers.setdefault(w, len(numbers)) for _, ws in rows for w in ws), np.int64)
-    held = [held_out(d) for d, _ in rows]
-    learned = codes[np.repeat(~np.array(held, bool), sizes)]
+    sizes = np.array([len(w) for _, w, _ in rows], np.int64)
+    codes = np.fromiter((numbers.setdefault(w, len(numbers)) for _, ws, _ in rows for w in ws), np.int64)
+    held = [held_out(d) for d, _, _ in rows]
+    group = np.repeat(np.array([-1 if h else g for h, (_, _, g) in zip(held, rows, strict=True)]), sizes)
     # Frequent words get small numbers, whose high bytes compress away.
     rank = np.empty(len(numbers), np.int64)
     rank[np.argsort(-np.bincount(codes, minlength=len(numbers)), kind="stable")] = np.arange(len(numbers))
-    counts = np.bincount(rank[learned], minlength=len(numbers))
+    codes = rank[codes]
+    cells = (group * len(numbers) + codes)[group >= 0]
+    counts = np.bincount(cells, minlength=groups * len(numbers)).reshape(groups, len(numbers))
     words = np.empty(len(numbers), object)
     words[rank] = list(numbers)
     bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
     order = np.argsort(bucket, kind="stable")
     bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    out = [(number, -1, [d for d, _ in rows], held, sizes.tolist(), _planes(rank[codes]), None, None, None)]
+    texts = np.bincount([g for h, (_, _, g) in zip(held, rows, strict=True) if not h], minlength=groups).tolist()
+    out = [(number, -1, [d for d, _, _ in rows], held, sizes.tolist(), texts, _planes(codes), None, None, None)]
     for b in range(buckets):
         some = order[bounds[b] : bounds[b + 1]]
         if len(some):
-            out.append((number, b, None, None, None, None, b"\n".join(words[some]), _planes(some), _planes(counts[some])))
-    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 4]
+            out.append((number, b, None, None, None, None, None, b"\n".join(words[some]), _planes(some), _planes(counts[:, some].ravel())))
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), *[pa.binary()] * 4]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=_NAMES)
 
 
-def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
+def group_names(docs: DataFrame, group: str, most: int = GROUPS) -> list[str]:
+    """The groups with the most documents; at most ``most - 1``, the rest share the last place."""
+    found = docs.filter(F.col(group).isNotNull()).groupBy(F.col(group).cast("string").alias("g")).count()
+    return [r.g for r in found.orderBy(F.desc("count"), "g").limit(most - 1).collect()]
+
+
+def chunks(docs: DataFrame, text: str = "text", group: str | None = None, names: list[str] | None = None) -> DataFrame:
     """Chunks of all documents: a row (bucket -1) of documents, and one per bucket of words."""
-    buckets = fan_out(docs.select("doc_id", text), BUCKET_BYTES)
-    largest = max(CHUNK_BYTES, min(64 << 20, plan_bytes(docs) >> 12))
+    chosen = [F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")]
+    chosen.append((F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g"))
+    rows = docs.select(*chosen)
+    buckets = fan_out(rows, BUCKET_BYTES)
+    largest = max(CHUNK_BYTES, min(64 << 20, plan_bytes(rows) >> 12))
+    place = {g: i for i, g in enumerate(names or [])}
+    other = len(place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for doc, value in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    held.append((doc, (value or "").encode().lower().split()))
+                for doc, value, g in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    held.append((doc, (value or "").encode().lower().split(), place.get(g, other)))
                     size += len(value or "")
                     if size >= largest or len(held) >= CHUNK_DOCS:
-                        yield _chunk_rows(number, held, buckets)
+                        yield _chunk_rows(number, held, buckets, other + 1)
                         number, held, size = number + 1, [], 0
         if held:
-            yield _chunk_rows(number, held, buckets)
+            yield _chunk_rows(number, held, buckets, other + 1)
 
-    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, CHUNK_SCHEMA))
+    return stored(rows.mapInArrow(run, CHUNK_SCHEMA))
 
 
 def _sum_bucket(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
-    """Distinct words of a bucket, their training counts, and each row's word numbers."""
+    """Distinct words of a bucket, their training counts by group, and each row's word numbers."""
     numbers: dict[bytes, int] = {}
     at, counts = [], []
     for words, count in zip(table.column("words").to_pylist(), table.column("counts").to_pylist(), strict=True):
         at.append(np.array([numbers.setdefault(w, len(numbers)) for w in words.split(b"\n")], np.int64))
-        counts.append(_unplanes(count))
-    total = np.zeros(len(numbers), np.int64)
+        counts.append(_unplanes(count).reshape(-1, len(at[-1])))
+    total = np.zeros((len(counts[0]), len(numbers)), np.int64)
     for where, count in zip(at, counts, strict=True):
-        total[where] += count
+        total[:, where] += count
     return list(numbers), total, at
 
 
 def training_words(parts: DataFrame) -> DataFrame:
-    """``word binary, c long`` of every word that occurs in training texts."""
+    """``word binary, c array<long>`` (by group) of every word that occurs in training texts."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         words, total, _ = _sum_bucket(table)
-        seen = np.flatnonzero(total)
-        return pa.table({"word": pa.array([words[i] for i in seen], pa.binary()), "c": total[seen]})
+        seen = np.flatnonzero(total.sum(axis=0))
+        by_word = pa.array(np.ascontiguousarray(total[:, seen].T).ravel())
+        offsets = pa.array(np.arange(len(seen) + 1, dtype=np.int32) * len(total), pa.int32())
+        return pa.table({"word": pa.array([words[i] for i in seen], pa.binary()), "c": pa.ListArray.from_arrays(offsets, by_word)})
 
     rows = parts.filter("bucket >= 0").select("bucket", "words", "counts")
-    return stored(rows.groupBy("bucket").applyInArrow(run, "word binary, c long"))
+    return stored(rows.groupBy("bucket").applyInArrow(run, "word binary, c array<long>"))
 
 
 def fit_pieces(words: DataFrame, name: str = VOCABULARY, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -351,60 +373,82 @@ def fit_pieces(words: DataFrame, name: str = VOCABULARY, rounds: int = ROUNDS) -
 
 @dataclass(frozen=True)
 class Totals:
-    tokens: int
+    """Training totals by group: tokens, distinct tokens and texts; and over all groups."""
+
+    tokens_by: np.ndarray
+    types_by: np.ndarray
+    texts_by: np.ndarray
     types: int
     once: int
     twice: int
-    texts: int
+
+    @property
+    def tokens(self) -> int:
+        return int(self.tokens_by.sum())
 
     @property
     def discount(self) -> float:
         return self.once / (self.once + 2 * self.twice) if self.once and self.twice else 0.5
 
-    def log10_known(self, counts: np.ndarray, log_new: np.ndarray) -> np.ndarray:
-        """Probability of tokens from training counts and the lattice's natural logs."""
+    def log_known(self, counts: np.ndarray, log_new: np.ndarray) -> np.ndarray:
+        """Natural log probabilities by group, of tokens with training ``counts`` by group."""
+        if not self.tokens:
+            return np.tile(log_new, (len(self.tokens_by), 1))
+        size, spare = np.maximum(self.tokens_by, 1)[:, None], self.discount * self.types_by[:, None]
+        share = np.maximum(counts - self.discount, 0) / size
+        elsewhere = FROM_ELSEWHERE * counts.sum(axis=0) / self.tokens
+        with np.errstate(divide="ignore"):
+            known = np.log(share + spare / size * elsewhere)
+            return np.logaddexp(known, np.log(spare / size * (1 - FROM_ELSEWHERE)) + log_new)
+
+    def log_groups(self) -> np.ndarray:
+        """Log shares of the groups; only groups with training texts take part."""
         if not self.tokens:
-            return log_new / np.log(10)
-        share = np.maximum(counts - self.discount, 0) / self.tokens
-        spare = np.log(self.discount * self.types / self.tokens)
+            return np.log(np.full(len(self.tokens_by), 1 / len(self.tokens_by)))
         with np.errstate(divide="ignore"):
-            return np.logaddexp(np.log(share), spare + log_new) / np.log(10)
+            return np.log(self.texts_by / self.texts_by.sum())
 
 
-def totals(parts: DataFrame, words: DataFrame) -> Totals:
-    w = words.agg(
-        F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
-    ).first()
-    texts = parts.filter("bucket = -1").agg(
-        F.sum(F.size("held") - F.size(F.filter("held", lambda x: x)))
-    ).first()[0] or 0
-    return Totals((w[0] or 0) + texts, w[1] + (texts > 0), w[2] + (texts == 1), w[3] + (texts == 2), texts)
+def totals(parts: DataFrame, words: DataFrame, groups: int) -> Totals:
+    whole = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
+    w = words.select("c", whole.alias("n")).agg(
+        F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2),
+        *(F.sum(F.col("c")[g]) for g in range(groups)), *(F.count_if(F.col("c")[g] > 0) for g in range(groups)),
+    ).first()
+    t = parts.filter("bucket = -1").agg(*(F.sum(F.col("texts")[g]) for g in range(groups))).first()
+    texts = np.array([x or 0 for x in t])
+    tokens, types = (np.array([x or 0 for x in w[3 + k * groups : 3 + (k + 1) * groups]]) for k in (0, 1))
+    ends = int(texts.sum())
+    return Totals(tokens + texts, types + (texts > 0), texts, w[0] + (ends > 0), w[1] + (ends == 1), w[2] + (ends == 2))
 
 
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def document_scores(docs: DataFrame, text: str = "text", name: str = VOCABULARY, rounds: int = ROUNDS) -> DataFrame:
+def document_scores(
+    docs: DataFrame, text: str = "text", group: str | None = "lang", name: str = VOCABULARY, rounds: int = ROUNDS
+) -> DataFrame:
     """One row per row of ``docs``: token counts, the base score and the model's log10 probability.
 
-    Null texts are empty (one end token).  Repeated rows are scored, and
-    learned from, as often as they occur.  Words that share no bucket are
-    never compared; words are kept as bytes, so no hash can confuse two.
+    Null texts are empty (one end token); a null group is one of the rest.
+    Repeated rows are scored, and learned from, as often as they occur.  Words
+    are kept as bytes, so no hash can confuse two.
     """
-    parts = chunks(docs, text)
+    names = group_names(docs, group) if group else []
+    groups = len(names) + 1
+    parts = chunks(docs, text, group, names)
     words = training_words(parts)
     weights = docs.sparkSession.sparkContext.broadcast(fit_pieces(words, name, rounds))
-    known = totals(parts, words)
+    known = totals(parts, words, groups)
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         types, total, at = _sum_bucket(table)
-        log_new = Lattice(vocabulary(name), *weights.value).log_probs([w.decode() for w in types]) + np.log(1 - END_OF_TEXT)
-        own = known.log10_known(total, log_new).astype("<f4")
+        log_new = Lattice(vocabulary(name), *weights.value).log_probs([w.decode() for w in types]).astype("<f4")
         return pa.table(
             {
                 "chunk": table.column("chunk"), "places": table.column("places"),
-                "counts": pa.array([_planes(total[i], 8) for i in at], pa.binary()),
-                "scores": pa.array([own[i].tobytes() for i in at], pa.binary()),
+                "counts": pa.array([_planes(total[:, i].ravel(), 8) for i in at], pa.binary()),
+                "scores": pa.array([log_new[i].tobytes() for i in at], pa.binary()),
             }
         )
 
@@ -416,27 +460,32 @@ def document_scores(docs: DataFrame, text: str = "text", name: str = VOCABULARY,
     def finish(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         places = [_unplanes(p) for p in right.column("places").to_pylist()]
         size = sum(map(len, places))
-        counts, scores = np.zeros(size, np.int64), np.zeros(size)
+        by_group, log_new = np.zeros((groups, size), np.int64), np.zeros(size)
         for at, c, s in zip(places, right.column("counts").to_pylist(), right.column("scores").to_pylist(), strict=True):
-            counts[at], scores[at] = _unplanes(c, 8), np.frombuffer(s, "<f4")
+            by_group[:, at], log_new[at] = _unplanes(c, 8).reshape(groups, -1), np.frombuffer(s, "<f4")
         rows = left.to_pylist()[0]
         n_words = np.array(rows["n_words"], np.int64)
-        codes = _unplanes(rows["codes"])
-        whole = known.tokens + known.types + 1
-        end = known.log10_known(np.array([known.texts]), np.array([np.log(END_OF_TEXT)]))[0]
+        codes, counts = _unplanes(rows["codes"]), by_group.sum(axis=0)
+        text_of = np.repeat(np.arange(len(n_words)), n_words)
+        whole, texts = known.tokens + known.types + 1, int(known.texts_by.sum())
+        ends = known.log_known(known.texts_by[:, None], np.array([np.log(END_OF_TEXT)]))[:, 0]
+        log_words = known.log_known(by_group, log_new + np.log(1 - END_OF_TEXT))
 
         def per_text(values: np.ndarray, last: float) -> np.ndarray:
-            text_of = np.repeat(np.arange(len(n_words)), n_words)
             return np.bincount(text_of, values[codes], len(n_words)) + last
 
+        with np.errstate(invalid="ignore"):
+            each = [
+                per_text(log_words[g], ends[g] + share) for g, share in enumerate(known.log_groups()) if np.isfinite(share)
+            ]
         return pa.table(
             {
                 "doc_id": pa.array(rows["doc_ids"], pa.int64()), "held_out": pa.array(rows["held"]),
                 "n_tokens": n_words + 1,
-                "n_known": per_text((counts > 0).astype(float), float(known.texts > 0)).astype(np.int64),
+                "n_known": per_text((counts > 0).astype(float), float(texts > 0)).astype(np.int64),
                 "train_tokens": np.full(len(n_words), known.tokens),
-                "base_score": per_text(np.log10((counts + 1) / whole), np.log10((known.texts + 1) / whole)),
-                "score": per_text(scores, end),
+                "base_score": per_text(np.log10((counts + 1) / whole), np.log10((texts + 1) / whole)),
+                "score": np.logaddexp.reduce(each) / np.log(10),
             }
         )
 

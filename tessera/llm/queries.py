@@ -12,7 +12,7 @@ from .common import table
 
 
 def op1_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.document_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lm.document_scores(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
