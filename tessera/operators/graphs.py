@@ -143,12 +143,12 @@ def clustering_coefficient(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 50) -> DataFrame:
     """``id, component`` (least id) by min-label rounds with label jumping, each round checkpointed."""
-    both = both_ways(edges.withColumn("w", F.lit(1)), "w").select("a", "b")
     sc = nodes.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         import tempfile
 
         sc.setCheckpointDir(nodes.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    both = both_ways(edges.withColumn("w", F.lit(1)), "w").select("a", "b").checkpoint()
     labels = nodes.select("id", F.col("id").alias("component")).checkpoint()
     for _ in range(most_rounds):
         low = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("_low"))
@@ -166,7 +166,7 @@ def passport(edges: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame
     g = groups.select("id", "g")
     inside = edges.join(g.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(g.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
     e = inside.agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("ga") == F.col("gb")).alias("_in"))
-    d = degrees(edges, nodes).agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if("degree = 0").alias("n_isolated"), F.max("degree").alias("max_degree"))
+    d = degrees(edges, nodes).agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.col("degree") == 0).alias("n_isolated"), F.max("degree").alias("max_degree"))
     n, m = F.col("n_nodes").cast("double"), F.col("n_edges").cast("double")
     return d.crossJoin(e).select(
         "n_nodes", "n_edges", "n_isolated", "max_degree",

@@ -192,14 +192,14 @@ def yoy_share_pp(spark, sf_dir):
 
 @query(
     "national_quantiles",
-    f"""WITH {SQL_PANEL} SELECT t, cat, count(*) AS n, {_r("median(v)", 2)} AS med, {_r("quantile_cont(v, 0.25)", 2)} AS q25, {_r("quantile_cont(v, 0.75)", 2)} AS q75
+    f"""WITH {SQL_PANEL} SELECT t, cat, count(*) AS n, {_r("median(v)", 6)} AS med, {_r("quantile_cont(v, 0.25)", 6)} AS q25, {_r("quantile_cont(v, 0.75)", 6)} AS q75
     FROM panel GROUP BY t, cat""",
 )
 def national_quantiles(spark, sf_dir):
     agg = panel(spark, sf_dir).groupBy("t", "cat").agg(
         F.count(F.lit(1)).alias("n"), F.median("v").alias("med"), F.percentile("v", 0.25).alias("q25"), F.percentile("v", 0.75).alias("q75")
     )
-    return rounded(agg, "med", "q25", "q75", digits=2)
+    return rounded(agg, "med", "q25", "q75", digits=6)
 
 
 @query("weighted_share", f"""WITH {_SHARES}, w AS (SELECT id, sum(v) AS w FROM panel GROUP BY id)
@@ -311,16 +311,16 @@ def chain_index(spark, sf_dir):
     return rounded(r.select("t", P.chain_index(r, "ratio", [], "t").alias("idx")), "idx")
 
 
-@query("panel_cube", f"""WITH {SQL_PANEL} SELECT g, cat, CAST(grouping(g, cat) AS bigint) AS level, round(sum(v), 0) AS v, count(*) AS n FROM panel GROUP BY CUBE (g, cat)""")
+@query("panel_cube", f"""WITH {SQL_PANEL} SELECT g, cat, CAST(grouping(g, cat) AS bigint) AS level, round(sum(v), 2) AS v, count(*) AS n FROM panel GROUP BY CUBE (g, cat)""")
 def panel_cube(spark, sf_dir):
     agg = panel(spark, sf_dir).cube("g", "cat").agg(F.grouping_id().cast("long").alias("level"), F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"))
-    return rounded(agg, "v", digits=0)
+    return rounded(agg, "v", digits=2)
 
 
-@query("panel_pivot", f"""WITH {SQL_PANEL} SELECT g, {', '.join(f"round(sum(CASE WHEN cat = '{c}' THEN v END), 0) AS {p}" for c, p in zip(CATEGORIES, PARTS, strict=True))} FROM panel GROUP BY g""")
+@query("panel_pivot", f"""WITH {SQL_PANEL} SELECT g, {', '.join(f"round(sum(CASE WHEN cat = '{c}' THEN v END), 2) AS {p}" for c, p in zip(CATEGORIES, PARTS, strict=True))} FROM panel GROUP BY g""")
 def panel_pivot(spark, sf_dir):
     agg = panel(spark, sf_dir).groupBy("g").pivot("cat", CATEGORIES).agg(F.sum("v"))
-    return rounded(agg.toDF("g", *PARTS), *PARTS, digits=0)
+    return rounded(agg.toDF("g", *PARTS), *PARTS, digits=2)
 
 
 @query("share_spread", f"WITH {_CLR} SELECT " + ", ".join(f"{_r(f'var_samp({p})')} AS {p}" for p in PARTS) + ", count(*) AS n FROM clr")
@@ -342,10 +342,10 @@ def events_daily(spark, sf_dir):
     )
 
 
-@query("level_summary", f"""WITH {SQL_MONTHLY} SELECT g, {_r("median(v)", 2)} AS med, {_r("avg(v)", 2)} AS mean, {_r("quantile_cont(v, 0.1)", 2)} AS p10, {_r("quantile_cont(v, 0.9)", 2)} AS p90, count(*) AS n FROM monthly GROUP BY g""")
+@query("level_summary", f"""WITH {SQL_MONTHLY} SELECT g, {_r("median(v)", 6)} AS med, {_r("avg(v)", 6)} AS mean, {_r("quantile_cont(v, 0.1)", 6)} AS p10, {_r("quantile_cont(v, 0.9)", 6)} AS p90, count(*) AS n FROM monthly GROUP BY g""")
 def level_summary(spark, sf_dir):
     agg = monthly(spark, sf_dir).groupBy("g").agg(F.median("v").alias("med"), F.avg("v").alias("mean"), F.percentile("v", 0.1).alias("p10"), F.percentile("v", 0.9).alias("p90"), F.count(F.lit(1)).alias("n"))
-    return rounded(agg, "med", "mean", "p10", "p90", digits=2)
+    return rounded(agg, "med", "mean", "p10", "p90", digits=6)
 
 
 @query("rel_level_median", f"WITH {SQL_MONTHLY} SELECT id, t, {_r('y - median(y) OVER (PARTITION BY g, t)')} AS rel FROM monthly")
