@@ -28,5 +28,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-for _module in ("panels", "statistics", "networks", "partitions", "resolution"):
+for _module in ("panels", "statistics", "networks", "partitions", "resolution", "sampling"):
     import_module(f"tessera.plans.{_module}")
