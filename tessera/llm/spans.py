@@ -1,13 +1,14 @@
 """Substring dedup over sliding sentence spans.
 
 A text is cut into sentences (at ``.``, ``!``, ``?``, their full-width forms and
-line ends); a sentence of more than ``PIECE_WORDS`` words is cut into pieces of
-that many words from its beginning, so that long unpunctuated passages have
-spans too.  Every run of ``RUN`` consecutive pieces with at least
-``LEAST_WORDS`` words is hashed (128 bits of its case-folded words), the hashes
-are joined over the whole corpus, and the pieces covered by any but the first
-occurrence of a repeated run are removed.  "First" is the least document key,
-then the least position.
+line ends).  A sentence of more than ``PIECE_WORDS`` words is cut further, after
+words chosen by their own hash, so that the same passage is cut alike wherever
+it stands.  Around every piece the shortest run of ``RUN`` or more consecutive
+pieces with ``LEAST_WORDS`` or more words is hashed, once for each piece that
+begins one and once for each that ends one (128 bits of the case-folded words);
+the hashes are joined over the whole corpus, and the pieces covered by any but
+the first occurrence of a repeated run are removed.  "First" is the least
+document key, then the least position.
 
 Runs are first counted with map-side combining, so that a passage in a third
 of all documents is one small row per task; only runs that do repeat meet
@@ -17,6 +18,7 @@ their occurrences again, in a join whose large partitions AQE splits.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +31,13 @@ from .bpe import slices
 from .common import row_key, stored
 
 RUN = 3
-PIECE_WORDS = 12
-#: Shorter runs are common by chance.
-LEAST_WORDS = 12
+PIECE_WORDS = 16
+#: Long sentences are cut after one word in so many, but not within ``SHORTEST_PIECE`` words.
+CUT_ONE_IN, SHORTEST_PIECE = 4, 4
+#: Shorter runs are common by chance, or are single lines that many documents share.
+LEAST_WORDS = 20
+#: A run's place is ``first piece * STRIDE + pieces``.
+STRIDE = 64
 
 #: A sentence with the blanks after it; line ends close one too.
 _SENTENCE = re.compile(r"[^\n.!?。！？]*(?:[.!?。！？]+[\"'”’)\]]*|\n|$)\s*")
@@ -49,34 +55,54 @@ def pieces(text: str, most_words: int = PIECE_WORDS) -> list[str]:
             out.append(part)
             continue
         words = _WORD.findall(part)
-        head = part[: len(part) - sum(map(len, words))]
         if len(words) <= most_words:
             out.append(part)
             continue
-        groups = ["".join(words[i : i + most_words]) for i in range(0, len(words), most_words)]
-        groups[0] = head + groups[0]
-        out.extend(groups)
+        begin, held = match.start(), 0
+        at = match.end() - sum(map(len, words))
+        for number, word in enumerate(words, 1):
+            at, held = at + len(word), held + 1
+            chosen = zlib.crc32(word.strip().lower().encode()) % CUT_ONE_IN == 0
+            if number == len(words) or held == most_words or (chosen and held >= SHORTEST_PIECE):
+                out.append(text[begin:at])
+                begin, held = at, 0
     return out
 
 
 def runs(parts: list[str], size: int = RUN, least_words: int = LEAST_WORDS) -> tuple[list[int], list[bytes]]:
-    """Start piece and 128-bit digest of every run that is long enough."""
+    """Place and 128-bit digest of every run."""
     import xxhash
 
-    folded = [" ".join(p.lower().split()).encode() for p in parts]
-    # Pieces without a word neither start a run nor count in one.
-    index = [i for i, p in enumerate(folded) if p]
-    lengths = [folded[i].count(b" ") + 1 for i in index]
-    where, digests = [], []
-    for k in range(len(index) - size + 1):
-        if sum(lengths[k : k + size]) >= least_words:
-            where.append(k)
-            digests.append(xxhash.xxh3_128_digest(b" ".join([folded[i] for i in index[k : k + size]])))
-    return where, digests
+    if max(size, least_words) >= STRIDE:
+        raise ValueError(f"size and least_words must be below {STRIDE}")
+    # Pieces without a word neither begin a run nor count in one.
+    folded = [f for p in parts if (f := " ".join(p.lower().split()).encode())]
+    lengths = [f.count(b" ") + 1 for f in folded]
+    places: set[int] = set()
+    n, end, total = len(folded), 0, 0
+    for begin in range(n):  # the shortest run that begins here
+        while end < n and (end - begin < size or total < least_words):
+            total, end = total + lengths[end], end + 1
+        if end - begin < size or total < least_words:
+            break
+        places.add(begin * STRIDE + end - begin)
+        total -= lengths[begin]
+    begin, total = n, 0
+    for end in range(n, 0, -1):  # the shortest run that ends here
+        while begin > 0 and (end - begin < size or total < least_words):
+            begin -= 1
+            total += lengths[begin]
+        if end - begin < size or total < least_words:
+            break
+        places.add(begin * STRIDE + end - begin)
+        total -= lengths[end - 1]
+    where = sorted(places)
+    digest = xxhash.xxh3_128_digest
+    return where, [digest(b" ".join(folded[p // STRIDE : p // STRIDE + p % STRIDE])) for p in where]
 
 
 def span_rows(df: DataFrame, text: str = "text", size: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc_id, _tkey, pos int, h1 long, h2 long``: one row per run."""
+    """``doc_id, _tkey, pos long, h1 long, h2 long``: one row per run."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,18 +118,18 @@ def span_rows(df: DataFrame, text: str = "text", size: int = RUN, least_words: i
                 take = pa.array(takes, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(take), keys.take(take), pa.array(where, pa.int32()),
+                        ids.take(take), keys.take(take), pa.array(where, pa.int64()),
                         pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])),
                     ],
                     names=["doc_id", "_tkey", "pos", "h1", "h2"],
                 )
 
     rows = df.select(*row_key(text=text), text)
-    return rows.mapInArrow(work, T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string("pos int, h1 long, h2 long").fields]))
+    return rows.mapInArrow(work, T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string("pos long, h1 long, h2 long").fields]))
 
 
 def repeated_positions(df: DataFrame, text: str = "text", size: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc_id, _tkey, starts array<int>``: where non-first repeated runs start."""
+    """``doc_id, _tkey, starts array<long>``: places of the non-first repeated runs."""
     rows = stored(span_rows(df, text, size, least_words))
     # Half a digest is enough to drop nearly all runs; what it keeps by chance goes below.
     maybe = rows.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1")
@@ -116,16 +142,16 @@ def repeated_positions(df: DataFrame, text: str = "text", size: int = RUN, least
     return again.groupBy("doc_id", "_tkey").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
 
 
-def without_repeats(text: str, starts: list[int] | None, size: int = RUN) -> tuple[str, int, int]:
+def without_repeats(text: str, places: list[int] | None) -> tuple[str, int, int]:
     """The text that is left, its number of pieces, and how many were removed.
 
     Pieces without a word stay only if the text loses nothing.
     """
     parts = pieces(text)
-    if not starts:
+    if not places:
         return text, len(parts), 0
     index = [i for i, p in enumerate(parts) if p.strip()]
-    gone = {index[k] for at in starts for k in range(at, at + size)}
+    gone = {index[k] for p in places for k in range(p // STRIDE, p // STRIDE + p % STRIDE)}
     return "".join(p for i, p in enumerate(parts) if i not in gone and p.strip()).strip(), len(parts), len(gone)
 
 
@@ -150,8 +176,8 @@ def remove_repeats(df: DataFrame, text: str = "text", size: int = RUN, least_wor
             for part in slices(batch, 256):
                 at = part.schema.get_field_index(text)
                 found = [
-                    (None, 0, 0) if value is None else without_repeats(value, begins, size)
-                    for value, begins in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True)
+                    (None, 0, 0) if value is None else without_repeats(value, places)
+                    for value, places in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True)
                 ]
                 columns = list(part.columns[:-1])
                 columns[at] = pa.array([t for t, _, _ in found], columns[at].type)

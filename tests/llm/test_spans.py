@@ -10,10 +10,14 @@ def brute(rows):
     for d, t in docs:
         parts = [" ".join(p.lower().split()) for p in spans.pieces(t or "")]
         parts = [p for p in parts if p]
-        for k in range(len(parts) - spans.RUN + 1):
-            run = parts[k : k + spans.RUN]
-            if sum(len(p.split(" ")) for p in run) >= spans.LEAST_WORDS:
-                seen.setdefault(tuple(run), []).append((d, t, k))
+
+        def fits(i, j, parts=parts):
+            return j - i >= spans.RUN and sum(len(p.split(" ")) for p in parts[i:j]) >= spans.LEAST_WORDS
+
+        for i in range(len(parts)):
+            for j in range(i + 1, len(parts) + 1):
+                if fits(i, j) and not (fits(i, j - 1) and fits(i + 1, j)):
+                    seen.setdefault(tuple(parts[i:j]), []).append((d, t, i * spans.STRIDE + j - i))
     for places in seen.values():
         for d, t, k in sorted(places)[1:]:
             starts.setdefault((d, t), set()).add(k)
