@@ -9,9 +9,9 @@ from tessera.operators import graphs as G
 from tessera.operators import stats as S
 from tessera.operators import validity as V
 
+from .base import query
 from .inputs import SQL_CUSTOMERS, SQL_FLOWS, SQL_MONTHLY, customers, monthly, read, strong_flows, vectors
 from .panels import _r, rounded
-from .registry import query
 
 #: All-pairs queries run within blocks of this many neighbouring ids.
 BLOCK = 100

@@ -11,8 +11,8 @@ from tessera.functions.scalars import shown_pct
 from tessera.operators import panel as P
 from tessera.operators import stats
 
+from .base import query
 from .inputs import CATEGORIES, MONTHS, PARTS, SQL_MONTHLY, SQL_ORDERS, SQL_PANEL, SQL_WIDE, monthly, orders_by_nation, panel, read
-from .registry import query
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:

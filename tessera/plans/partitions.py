@@ -9,10 +9,10 @@ from tessera.operators import selection as C
 from tessera.operators import tracking as T
 from tessera.operators import validity as V
 
+from .base import query
 from .inputs import SQL_COORDINATES, SQL_CUSTOMERS, SQL_MONTHLY, coordinates, customers, monthly, vectors
 from .networks import BLOCK, _GAUSS, _pairs
 from .panels import _r, rounded
-from .registry import query
 
 _SIL = _GAUSS + f""",
 two AS (SELECT a, b, d FROM ds UNION ALL SELECT b, a, d FROM ds),

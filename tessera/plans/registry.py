@@ -1,32 +1,8 @@
-"""Names of all registered queries.
-
-A query's module registers it with ``query``; ``sql`` is the same result in
-plain SQL for another engine, or None where there is no such form.
-"""
+"""Names of all registered queries; importing it registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from importlib import import_module
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def register(run: Query) -> Query:
-        if name in QUERIES:
-            raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = run
-        if sql:
-            ORACLE_SQL[name] = sql
-        return run
-
-    return register
-
+from . import models, networks, panels, partitions, resolution, sampling, statistics
+from .base import ORACLE_SQL, QUERIES
 
-for _module in ("panels", "statistics", "networks", "partitions", "resolution", "sampling"):
-    import_module(f"tessera.plans.{_module}")
+__all__ = ["ORACLE_SQL", "QUERIES", "models", "networks", "panels", "partitions", "resolution", "sampling", "statistics"]

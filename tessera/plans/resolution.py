@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import code_prefix, has_flag, join_flags, log1p_abs, map_or_fail, normalize_code, real_growth, safe_log, transform_value, version_distance
 from tessera.operators import resolve as R
 
+from .base import query
 from .inputs import SQL_CUSTOMERS, SQL_PANEL, customers, panel, read
 from .panels import _r, rounded
-from .registry import query
 
 #: Made versions of suppliers: code changes at a year that depends on the key; every fifth pair shares a stable code.
 _VERSIONS = """versions AS (

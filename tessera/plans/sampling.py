@@ -8,9 +8,9 @@ from tessera.operators import resample as B
 from tessera.operators import selection as C
 from tessera.operators import stats as S
 
+from .base import query
 from .inputs import MONTHS, SQL_CUSTOMERS, SQL_MONTHLY, customers, monthly, read
 from .panels import _r, rounded
-from .registry import query
 
 REPS = 20
 _C = f"WITH {SQL_CUSTOMERS}"
@@ -30,12 +30,15 @@ def permute_within(spark, sf_dir):
 
 
 _NULL = _PERM + ", stat AS (SELECT rep, avg(CASE WHEN bal > 5000 THEN p.n_orders END) - avg(CASE WHEN bal <= 5000 THEN p.n_orders END) AS d FROM perm p JOIN cust USING (id) GROUP BY rep), obs AS (SELECT avg(CASE WHEN bal > 5000 THEN n_orders END) - avg(CASE WHEN bal <= 5000 THEN n_orders END) AS o FROM cust)"
-_HIGH = F.avg(F.when(F.col("bal") > 5000, F.col("n_orders"))) - F.avg(F.when(F.col("bal") <= 5000, F.col("n_orders")))
+
+
+def _high():
+    return F.avg(F.when(F.col("bal") > 5000, F.col("n_orders"))) - F.avg(F.when(F.col("bal") <= 5000, F.col("n_orders")))
 
 
 def _null(spark, sf_dir):
     bal = customers(spark, sf_dir).select("id", "bal")
-    return _permuted(spark, sf_dir).join(bal, "id").groupBy("rep").agg(_HIGH.alias("d"))
+    return _permuted(spark, sf_dir).join(bal, "id").groupBy("rep").agg(_high().alias("d"))
 
 
 @query("null_distribution", f"{_NULL} SELECT rep, {_r('d')} AS d FROM stat")
@@ -45,7 +48,7 @@ def null_distribution(spark, sf_dir):
 
 @query("empirical_p", f"{_NULL} SELECT {_r('(1 + count(*) FILTER (WHERE round(d, 9) >= round(o, 9))) / CAST(1 + count(*) AS double)')} AS p_greater, {_r('(1 + count(*) FILTER (WHERE abs(round(d, 9)) >= abs(round(o, 9)))) / CAST(1 + count(*) AS double)')} AS p_two_sided FROM stat, obs")
 def empirical_p(spark, sf_dir):
-    o = customers(spark, sf_dir).agg(F.round(_HIGH, 9).alias("o"))
+    o = customers(spark, sf_dir).agg(F.round(_high(), 9).alias("o"))
     n = _null(spark, sf_dir).withColumn("d", F.round("d", 9)).crossJoin(F.broadcast(o)).withColumn("ad", F.abs("d"))
     return rounded(n.agg(S.permutation_p(F.col("o"), "d").alias("p_greater"), S.permutation_p(F.abs("o"), "ad").alias("p_two_sided")), "p_greater", "p_two_sided")
 

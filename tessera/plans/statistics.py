@@ -9,9 +9,9 @@ from tessera.functions.ranks import avg_rank, pct_rank, quantile_group, rank01
 from tessera.functions.scalars import compare_errors
 from tessera.operators import stats as S
 
+from .base import query
 from .inputs import SQL_CUSTOMERS, SQL_MONTHLY, customers, monthly, read
 from .panels import _r, rounded
-from .registry import query
 
 _C = f"WITH {SQL_CUSTOMERS}"
 
