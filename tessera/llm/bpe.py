@@ -29,6 +29,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import without
+
 #: Characters of a leaf, and of the first boundary window to each side.
 LEAF_CHARS = 8192
 WINDOW_CHARS = 32
@@ -119,15 +121,10 @@ def codec(path: str) -> TreeCodec:
     return TreeCodec(path)
 
 
-def _with_columns(df: DataFrame, added: list[T.StructField]) -> T.StructType:
-    names = {f.name.lower() for f in added}
-    clash = [c for c in df.columns if c.lower() in names]
-    if clash:
-        raise ValueError(f"columns already present: {clash}; rename them first")
-    return T.StructType([*df.schema.fields, *added])
-
-
 def _by_batch(df: DataFrame, added: list[T.StructField], work) -> DataFrame:
+    """Append columns that ``work`` makes of a slice of rows; columns of the same names are replaced."""
+    df = without(df, [f.name for f in added])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -136,7 +133,7 @@ def _by_batch(df: DataFrame, added: list[T.StructField], work) -> DataFrame:
                     [*part.columns, *columns], names=[*part.schema.names, *(f.name for f in added)]
                 )
 
-    return df.mapInArrow(run, _with_columns(df, added))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
 
 
 def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -148,7 +145,7 @@ def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
 def encode(df: DataFrame, text: str = "text", path: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     """Append ``ids array<int>``, the BPE ids of the whole ``text`` (null: empty text).
 
-    Every other column passes through; a clash with ``ids`` is an error.
+    Every other column passes through; one named ``ids`` is replaced.
     No shuffle; a worker holds one slice of rows.
     """
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import slices
+from .common import without
 
 #: Fixed sets of HTML: elements that never close, that hold no visible text, and that flow inside a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -87,7 +88,7 @@ def leaf_blocks(html: str) -> list[Block]:
                 del stack[where:]
                 links = sum(t == "a" for t, _ in stack)
             continue
-        if name not in INLINE:
+        if name not in INLINE and name not in RAW:
             flush()
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
@@ -305,13 +306,12 @@ def main_text(html: str, field: Field) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html", field: Field | None = None) -> DataFrame:
-    """Every row with ``text string`` (empty if none) in place of nothing; null html is empty.
+    """Every row with ``text string`` (empty if none; a column of that name is replaced); null html is empty.
 
     No shuffle.  The field travels with the task: a weight per feature of the
     labelled pages, whatever the size of the input.
     """
-    if "text" in {c.lower() for c in pages.columns}:
-        raise ValueError("a column text is already present; rename it first")
+    pages = without(pages, ["text"])
     model = field or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

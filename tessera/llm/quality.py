@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import WORD_PATTERN
+from .common import WORD_PATTERN, without
 
 #: Upper bound of the labelled rows that the trees are fitted on.
 SAMPLE_ROWS = 6000
@@ -243,7 +243,8 @@ def apply_rules(
 ) -> DataFrame:
     """Append statistics, ``base_failed``, ``score`` and ``kept`` to every row.
 
-    Null text: no words, so the base rule fails.  Without a model the score is
+    Null text: no words, so the base rule fails.  Columns of the added names are
+    replaced.  Without a model the score is
     null and the base rule alone decides.  No shuffle.
     """
     added = [
@@ -252,9 +253,7 @@ def apply_rules(
         T.StructField("score", T.DoubleType()),
         T.StructField("kept", T.BooleanType()),
     ]
-    clash = {f.name.lower() for f in added} & {c.lower() for c in df.columns}
-    if clash:
-        raise ValueError(f"columns already present: {sorted(clash)}; rename them first")
+    df = without(df, [f.name for f in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

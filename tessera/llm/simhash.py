@@ -2,7 +2,7 @@
 
 Fingerprints are 64-bit majority votes over the hashes of word shingles.  For
 a radius ``r`` every bit position draws a random vector of ``r + 1`` bits; each
-non-zero vector ``v`` gives one mask, of the positions whose vector is
+non-zero vector ``v`` gives one mask, of the positions whose vector is not
 orthogonal to ``v``.  At most ``r`` differing positions span at most ``r``
 dimensions, so some ``v`` is orthogonal to all of them and its mask leaves them
 out: **every** pair within the radius shares its masked bits in some table.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import cut, row_key
+from .common import cut, row_key, without
 
 BITS = 64
 RADIUS = 4
@@ -64,8 +64,7 @@ def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     """Append ``fp long`` (the unsigned fingerprint's bits); null text counts as empty, fingerprint 0."""
-    if "fp" in {c.lower() for c in df.columns}:
-        raise ValueError("a column fp is already present; rename it first")
+    df = without(df, ["fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +84,7 @@ def covering_masks(radius: int = RADIUS, bits: int = BITS, seed: int = SEED) ->
     codes = np.arange(bits) % ((1 << (radius + 1)) - 1) + 1
     np.random.default_rng(seed).shuffle(codes)
     return [
-        sum(1 << i for i in range(bits) if bin(int(codes[i]) & v).count("1") % 2 == 0)
+        sum(1 << i for i in range(bits) if bin(int(codes[i]) & v).count("1") % 2)
         for v in range(1, 1 << (radius + 1))
     ]
 
@@ -241,6 +240,6 @@ def representatives(df: DataFrame, radius: int = RADIUS, text: str = "text") ->
     keep = near_duplicates(df, radius, text).groupBy("root").agg(F.min(place).alias("at")).select(
         F.col("at.doc_id").alias("_keep"), F.col("at._tkey").alias("_kept")
     )
-    tagged = df.withColumn("_tkey", F.xxhash64(text))
+    tagged = without(df, ["_tkey", "_keep", "_kept"]).withColumn("_tkey", F.xxhash64(text))
     some = tagged.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_tkey") == F.col("_kept")), "left_semi")
     return some.dropDuplicates(["doc_id", "_tkey"]).drop("_tkey")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import row_key, stored
+from .common import row_key, stored, without
 
 RUN = 3
 PIECE_WORDS = 16
@@ -160,12 +160,11 @@ def remove_repeats(df: DataFrame, text: str = "text", size: int = RUN, least_wor
 
     Null text stays null.  Repeated rows (same id, same text) are one document
     and keep what it keeps.  Texts of fewer than ``size`` pieces have no run and
-    stay as they are.  Removal may leave an empty text; the row remains.
+    stay as they are.  Removal may leave an empty text; the row remains.  Columns
+    with names that the operator uses are replaced.
     """
     added = [T.StructField("n_pieces", T.LongType()), T.StructField("n_removed", T.LongType())]
-    clash = {c.lower() for c in df.columns} & {"n_pieces", "n_removed", "starts", "_tkey", "_d"}
-    if clash:
-        raise ValueError(f"columns already present: {sorted(clash)}; rename them first")
+    df = without(df, ["n_pieces", "n_removed", "starts", "_tkey", "_d", "_k"])
     starts = repeated_positions(df, text, size, least_words).select(F.col("doc_id").alias("_d"), F.col("_tkey").alias("_k"), "starts")
     joined = df.withColumn("_tkey", F.xxhash64(text)).join(
         starts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_tkey") == F.col("_k")), "left"

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import without
+
 
 def host_of(url: Column) -> Column:
     """Lower-cased host without user, port and final dot; null without ``scheme://host``."""
@@ -78,12 +80,10 @@ def evaluate(captures: DataFrame, events: DataFrame, url: str = "url", at: str =
 
     ``n_entries`` counts the active entries that match and ``entry`` is the
     least of them as ``kind:value``.  A null or unparsable URL and a null time
-    match nothing.  Repeated captures are each answered.
+    match nothing.  Repeated captures are each answered; columns of the added
+    names are replaced.
     """
-    added = {"blocked", "n_entries", "entry"}
-    clash = added & {c.lower() for c in captures.columns}
-    if clash:
-        raise ValueError(f"columns already present: {sorted(clash)}; rename them first")
+    captures = without(captures, ["blocked", "n_entries", "entry"])
     asked = captures.select(F.col(url).alias("_url"), F.col(at).alias("_at")).filter("_url is not null and _at is not null").distinct()
     keys = asked.select("_url", "_at", F.explode(match_keys(F.col("_url"))).alias("_key"))
     active = intervals(events)
