@@ -29,6 +29,10 @@ SAMPLE_ROWS = 6000
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _WORDS = re.compile(WORD_PATTERN)
 
+#: Documents are kept from this score on, or from less where held-out good rows need it.  On
+#: held-out labelled rows bad ones score under 0.05 and good ones over 0.5, so the cut favours keeping.
+MOST_CUT = 0.25
+
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = [
     "symbols_per_word", "repeat_share", "dup_line_share", "mean_word_chars", "upper_share",
@@ -90,7 +94,7 @@ class FlatTrees:
     roots: np.ndarray
     base: float
     depth: int
-    cut: float = 0.5
+    cut: float = MOST_CUT
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         """Log-odds of good quality for each row of ``x``; NaN goes right."""
@@ -207,7 +211,7 @@ def train(
     """Fit on at most ``sample_rows`` labelled documents, chosen by a hash of the id.
 
     The sample's ids are the only thing broadcast, and its bound is
-    ``sample_rows``.  The cut is the lower of 0.5 and the score that only
+    ``sample_rows``.  The cut is the lower of ``MOST_CUT`` and the score that only
     ``spare_good`` of the held-out good rows fall under (two folds).  With
     fewer than two classes there is no model: None.
     """
@@ -233,7 +237,7 @@ def train(
         if len(set(y[part])) == 2 and (~part).any():
             held.append(fit_trees(x[part], y[part], monotone).score(x[~part])[y[~part] > 0])
     good = np.concatenate(held) if held else np.empty(0)
-    cut = min(0.5, float(np.quantile(good, spare_good))) if len(good) else 0.5
+    cut = min(MOST_CUT, float(np.quantile(good, spare_good))) if len(good) else MOST_CUT
     model = fit_trees(x, y, monotone)
     return FlatTrees(**{**model.__dict__, "cut": cut})
 
