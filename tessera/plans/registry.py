@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import models, networks, panels, partitions, resolution, sampling, statistics
+from . import composites, models, networks, panels, partitions, resolution, sampling, statistics
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "models", "networks", "panels", "partitions", "resolution", "sampling", "statistics"]
+__all__ = ["ORACLE_SQL", "QUERIES", "composites", "models", "networks", "panels", "partitions", "resolution", "sampling", "statistics"]
