@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Lengths of one block share a task when suffix sums are made.
 BLOCK = 1024
 
@@ -29,9 +31,10 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     histogram gives no rows.
 
     Sums run within blocks of lengths, and over the blocks' totals, so that no
-    task holds more than one block or the list of blocks.
+    task holds more than one block or the list of blocks.  The histogram, a row
+    per distinct length, is checkpointed, so that texts are encoded once.
     """
-    rows = histogram.withColumn("_block", (F.col("length") / BLOCK).cast("long"))
+    rows = cut(histogram).withColumn("_block", (F.col("length") / BLOCK).cast("long"))
     blocks = rows.groupBy("_block").agg(
         F.sum("docs").alias("_docs"), F.sum(F.col("docs") * F.col("length")).alias("_tokens")
     )
