@@ -162,7 +162,7 @@ class Field:
         return labels[::-1]
 
 
-def fit(pages: list[tuple[list[list[str]], list[int]]], steps: int = 150, rate: float = 0.1, l2: float = 1e-3) -> Field:
+def fit(pages: list[tuple[list[list[str]], list[int]]], steps: int = 250, rate: float = 0.1, l2: float = 2e-4) -> Field:
     """Maximise the regularised conditional likelihood with Adam; exact forward-backward."""
     index: dict[str, int] = {}
     for rows, _ in pages:
@@ -269,7 +269,7 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[str]
 
         top = "".join(rng.sample([f"<nav>{menu()}</nav>", f"<header><p>{words(1, 5)}</p>{menu()}</header>", aside(), aside(), form()], rng.randint(0, 4)))
         title = f"<h1>{say(words(2, 10))}</h1>" if rng.random() < 0.8 else ""
-        body = title + "".join(main_block(say) + (aside() if rng.random() < 0.06 else "") for _ in range(rng.randint(0 if title else 1, 12)))
+        body = title + "".join(main_block(say) + (aside() if rng.random() < 0.12 else "") for _ in range(rng.randint(0 if title else 1, 12)))
         opening, closing = rng.choice(
             [("<article>", "</article>")] * 5
             + [("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main-content">', "</div>"), ('<div class="post"><div class="entry">', "</div></div>"), ('<section class="article-body">', "</section>"), ("<div>", "</div>")]
