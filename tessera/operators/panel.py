@@ -73,10 +73,8 @@ def months_coverage(months: DataFrame) -> DataFrame:
 
 def month_ladder(quality: DataFrame, weights: DataFrame, steps: Sequence[int]) -> DataFrame:
     """For each step: entities with at least so many months, and their share of the weight."""
-    spark = quality.sparkSession
     rows = quality.join(weights, "id", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     grid = rows.withColumn("k", F.explode(F.array(*[F.lit(int(s)) for s in steps])))
-    del spark
     return grid.groupBy("k").agg(
         F.count_if(F.col("n_months") >= F.col("k")).alias("n_ids"),
         F.try_divide(F.sum(F.when(F.col("n_months") >= F.col("k"), F.col("w")).otherwise(0.0)), F.sum("w")).alias("w_share"),

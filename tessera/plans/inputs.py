@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import month_ordinal
@@ -82,9 +82,9 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strong_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of at least the mean weight."""
+    """Edges of at least the mean weight; the edge list has a row per pair of nations."""
     f = flows(spark, sf_dir)
-    return f.crossJoin(F.broadcast(f.agg(F.avg("w").alias("_m")))).filter("w >= _m").drop("_m")
+    return f.withColumn("_m", F.avg("w").over(Window.partitionBy())).filter("w >= _m").drop("_m")
 
 
 SQL_ORDERS = """ord AS (
