@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +74,12 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """``df`` less the columns whose names an operator is about to add (in any case): its own take their place."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def planes(values: np.ndarray, width: int = 4) -> bytes:
+    """Little-endian unsigned values of ``width`` bytes by byte planes, which compress well."""
+    return values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def unplanes(data: bytes, width: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)

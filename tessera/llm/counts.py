@@ -66,16 +66,17 @@ def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
     One row per limit and non-empty histogram: ``limit, docs_over`` (longer
     than the limit), ``truncated_total``, ``docs_total, tokens_total``.
     """
-    spark = sums.sparkSession
-    wanted = spark.createDataFrame([(int(x),) for x in limits], "limit long")
+    listed = F.array(*[F.lit(int(x)) for x in limits]).cast("array<long>")
     above = F.when(F.col("length") > F.col("limit"), F.struct("length", "docs_ge", "tokens_ge"))
     # The limits are a stated list; each length meets each of them once, map-side combined.
-    met = sums.withColumn("limit", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits]))) if limits else sums.limit(0).withColumn("limit", F.lit(0).cast("long"))
-    agg = met.groupBy("limit").agg(F.min(above).alias("next"), F.max("docs_total").alias("docs_total"), F.max("tokens_total").alias("tokens_total"))
-    return wanted.distinct().join(agg, "limit").select(
+    met = sums.withColumn("limit", F.explode(F.array_distinct(listed))).groupBy("limit").agg(
+        F.min(above).alias("next"), F.max("docs_total").alias("docs_total"), F.max("tokens_total").alias("tokens_total")
+    )
+    over, tokens_over = F.coalesce("next.docs_ge", F.lit(0)), F.coalesce("next.tokens_ge", F.lit(0))
+    return met.select(
         "limit",
-        F.coalesce("next.docs_ge", F.lit(0)).alias("docs_over"),
-        (F.col("tokens_total") - F.coalesce("next.tokens_ge", F.lit(0)) + F.col("limit") * F.coalesce("next.docs_ge", F.lit(0))).alias("truncated_total"),
+        over.alias("docs_over"),
+        (F.col("tokens_total") - tokens_over + F.col("limit") * over).alias("truncated_total"),
         "docs_total",
         "tokens_total",
     )

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import planes, stored, unplanes
 
 WINDOW = 10
 #: Distance within which proximity matches are sought by default.
@@ -53,15 +53,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Little-endian uint32 values by byte planes, which compress well."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
 def _starts(n_words: np.ndarray) -> np.ndarray:
     """First position of each document of a shard."""
     return np.concatenate(([0], np.cumsum(n_words + GAP)[:-1])) if len(n_words) else np.empty(0, np.int64)
@@ -85,8 +76,8 @@ def _shard(number: int, rows: list[tuple]) -> pa.RecordBatch:
             pa.array([[k for _, k, _ in rows]], pa.list_(pa.int64())),
             pa.array([n_words.tolist()], pa.list_(pa.int32())),
             pa.array([list(vocabulary)], pa.list_(pa.binary())),
-            pa.array([_planes(counts)], pa.binary()),
-            pa.array([_planes(delta)], pa.binary()),
+            pa.array([planes(counts)], pa.binary()),
+            pa.array([planes(delta)], pa.binary()),
         ],
         names=["shard", "doc_ids", "tkeys", "n_words", "terms", "counts", "positions"],
     )
@@ -177,9 +168,9 @@ def _search_shard(row: dict, blocks: list[Windows], slop: int):
     """Per document: hit words, items by phrase, items by proximity."""
     n_words = np.array(row["n_words"], np.int64)
     starts = _starts(n_words)
-    counts = _unplanes(row["counts"])
+    counts = unplanes(row["counts"])
     bounds = np.concatenate(([0], np.cumsum(counts)))
-    delta = _unplanes(row["positions"])
+    delta = unplanes(row["positions"])
     number = {t: i for i, t in enumerate(row["terms"])}
     lists: dict[int, np.ndarray] = {}
 

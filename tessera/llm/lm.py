@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fan_out, plan_bytes, stored
+from .common import fan_out, plan_bytes, planes, stored, unplanes
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Documents with crc32(id) % FOLDS == HELD_OUT are not learned from.
@@ -243,14 +243,6 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def _planes(values: np.ndarray, width: int = 4) -> bytes:
-    return values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
-
-
-def _unplanes(data: bytes, width: int = 4) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
-
-
 CHUNK_SCHEMA = "chunk long, bucket int, doc_ids array<long>, held array<boolean>, n_words array<int>, texts array<long>, codes binary, words binary, places binary, counts binary"
 _NAMES = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
 
@@ -273,11 +265,11 @@ def _chunk_rows(number: int, rows: list[tuple], buckets: int, groups: int) -> pa
     order = np.argsort(bucket, kind="stable")
     bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
     texts = np.bincount([g for h, (_, _, g) in zip(held, rows, strict=True) if not h], minlength=groups).tolist()
-    out = [(number, -1, [d for d, _, _ in rows], held, sizes.tolist(), texts, _planes(codes), None, None, None)]
+    out = [(number, -1, [d for d, _, _ in rows], held, sizes.tolist(), texts, planes(codes), None, None, None)]
     for b in range(buckets):
         some = order[bounds[b] : bounds[b + 1]]
         if len(some):
-            out.append((number, b, None, None, None, None, None, b"\n".join(words[some]), _planes(some), _planes(counts[:, some].ravel())))
+            out.append((number, b, None, None, None, None, None, b"\n".join(words[some]), planes(some), planes(counts[:, some].ravel())))
     kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), *[pa.binary()] * 4]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=_NAMES)
 
@@ -321,7 +313,7 @@ def _sum_bucket(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndarr
     at, counts = [], []
     for words, count in zip(table.column("words").to_pylist(), table.column("counts").to_pylist(), strict=True):
         at.append(np.array([numbers.setdefault(w, len(numbers)) for w in words.split(b"\n")], np.int64))
-        counts.append(_unplanes(count).reshape(-1, len(at[-1])))
+        counts.append(unplanes(count).reshape(-1, len(at[-1])))
     total = np.zeros((len(counts[0]), len(numbers)), np.int64)
     for where, count in zip(at, counts, strict=True):
         total[:, where] += count
@@ -447,7 +439,7 @@ def document_scores(
         return pa.table(
             {
                 "chunk": table.column("chunk"), "places": table.column("places"),
-                "counts": pa.array([_planes(total[:, i].ravel(), 8) for i in at], pa.binary()),
+                "counts": pa.array([planes(total[:, i].ravel(), 8) for i in at], pa.binary()),
                 "scores": pa.array([log_new[i].tobytes() for i in at], pa.binary()),
             }
         )
@@ -458,14 +450,14 @@ def document_scores(
     documents = parts.filter("bucket = -1").select("chunk", "doc_ids", "held", "n_words", "codes")
 
     def finish(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        places = [_unplanes(p) for p in right.column("places").to_pylist()]
+        places = [unplanes(p) for p in right.column("places").to_pylist()]
         size = sum(map(len, places))
         by_group, log_new = np.zeros((groups, size), np.int64), np.zeros(size)
         for at, c, s in zip(places, right.column("counts").to_pylist(), right.column("scores").to_pylist(), strict=True):
-            by_group[:, at], log_new[at] = _unplanes(c, 8).reshape(groups, -1), np.frombuffer(s, "<f4")
+            by_group[:, at], log_new[at] = unplanes(c, 8).reshape(groups, -1), np.frombuffer(s, "<f4")
         rows = left.to_pylist()[0]
         n_words = np.array(rows["n_words"], np.int64)
-        codes, counts = _unplanes(rows["codes"]), by_group.sum(axis=0)
+        codes, counts = unplanes(rows["codes"]), by_group.sum(axis=0)
         text_of = np.repeat(np.arange(len(n_words)), n_words)
         whole, texts = known.tokens + known.types + 1, int(known.texts_by.sum())
         ends = known.log_known(known.texts_by[:, None], np.array([np.log(END_OF_TEXT)]))[:, 0]
