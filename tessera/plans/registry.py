@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import composites, models, networks, panels, partitions, protocols, resolution, sampling, statistics
+from . import checks, composites, models, networks, panels, partitions, protocols, resolution, sampling, statistics
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "composites", "models", "networks", "panels", "partitions", "protocols", "resolution", "sampling", "statistics"]
+__all__ = ["ORACLE_SQL", "QUERIES", "checks", "composites", "models", "networks", "panels", "partitions", "protocols", "resolution", "sampling", "statistics"]
