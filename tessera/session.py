@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +24,23 @@ def session(app: str = "tessera", master: str | None = None, shuffle_partitions:
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     return builder.config(map=settings).getOrCreate()
+
+
+def ship(spark: SparkSession, package: str = "tessera") -> None:
+    """Send the package to the workers, once per context, unless they find it anyway.
+
+    Workers that inherit the driver's ``PYTHONPATH`` or working folder import
+    it from there; others get a zip through Spark's own file distribution.
+    """
+    root = Path(__file__).resolve().parents[1]
+    inherited = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    context = spark.sparkContext
+    if root in inherited or Path.cwd() == root or getattr(context, "_tessera_shipped", False):
+        return
+    folder = Path(tempfile.mkdtemp(prefix="tessera-"))
+    path = folder / f"{package}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted((root / package).rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    context.addPyFile(str(path))
+    context._tessera_shipped = True
