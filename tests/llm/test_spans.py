@@ -15,7 +15,7 @@ def brute(rows):
             return j - i >= spans.RUN and sum(len(p.split(" ")) for p in parts[i:j]) >= spans.LEAST_WORDS
 
         for i in range(len(parts)):
-            for j in range(i + 1, len(parts) + 1):
+            for j in range(i + 1, min(len(parts), i + spans.STRIDE) + 1):
                 if fits(i, j) and not (fits(i, j - 1) and fits(i + 1, j)):
                     seen.setdefault(tuple(parts[i:j]), []).append((d, t, i * spans.STRIDE + j - i))
     for places in seen.values():
