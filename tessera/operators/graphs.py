@@ -6,8 +6,6 @@ edge table ``a, b, w`` with ``a < b``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

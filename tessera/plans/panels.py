@@ -21,7 +21,10 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.to_wide(panel(spark, sf_dir), CATEGORIES, PARTS, ["id", "g", "t"])
+    """Nation x month with a column per priority, in one aggregation of the orders."""
+    rows = orders_by_nation(spark, sf_dir).withColumnRenamed("price", "v")
+    sums = P.to_wide(rows, CATEGORIES, PARTS, ["id", "g", "t"])
+    return sums.withColumns({p: F.round(p, 2) for p in PARTS})
 
 
 def complete(spark: SparkSession, sf_dir: str) -> DataFrame:
