@@ -157,3 +157,35 @@ def closed_itemsets(spark, sf_dir):
     traits = F.array_compact(F.array(F.col("seg"), F.when(F.col("bal") > 5000, "rich"), F.when(F.col("n_orders") > 10, "busy"), F.when(F.col("n_orders") == 0, "idle")))
     sets = FPGrowth(itemsCol="items", minSupport=0.05).fit(c.select(traits.alias("items"))).freqItemsets
     return sets.select(F.array_join(F.array_sort("items"), ";").alias("items"), F.col("freq").alias("n"))
+
+
+@query("leiden_types")
+def leiden_types(spark, sf_dir):
+    return K.per_group(strong_flows(spark, sf_dir).withColumn("run", F.lit(0)), ["run"], _on_graph(K.leiden), "id long, label int")
+
+
+@query("density_types")
+def density_types(spark, sf_dir):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["v"].tolist())
+        return pd.DataFrame({"id": pdf["id"], "label": K.density_clusters(x, 5)})
+
+    some = vectors(spark, sf_dir).filter("id < 400").select("id", F.slice("v", 1, 8).alias("v"), F.lit(0).alias("run"))
+    return K.per_group(some, ["run"], run, "id long, label int")
+
+
+@query("rewired_modularity")
+def rewired_modularity(spark, sf_dir):
+    """Modularity of the communities of the flows and of rewired graphs of the same degrees, a task per draw."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, w = K.weights_matrix(pdf)
+        rep = int(pdf["rep"].iloc[0])
+        graph = w if rep == 0 else K.rewired(w, 10 * len(pdf), rep)
+        label = K.leiden(graph)
+        hot = np.eye(label.max() + 1)[label]
+        m = hot.T @ graph @ hot / graph.sum()
+        return pd.DataFrame({"rep": [rep], "communities": [int(label.max() + 1)], "modularity": [round(float(np.trace(m) - (m.sum(1) ** 2).sum()), 6)]})
+
+    draws = strong_flows(spark, sf_dir).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(10))))
+    return K.per_group(draws, ["rep"], run, "rep int, communities int, modularity double")

@@ -20,6 +20,12 @@ def test_methods_recover_planted_groups():
     np.fill_diagonal(w, 0)
     assert same(K.spectral(w, 3), TRUE)
     assert same(K.louvain(w), TRUE)
+    assert same(K.leiden(w), TRUE)
+    assert same(K.hybrid(BLOBS, w), TRUE)
+    assert same(K.joint_kmeans(BLOBS, w, 3), TRUE)
+    found = K.density_clusters(np.vstack([BLOBS, [[20.0, 20.0]]]), 5)
+    assert found[-1] == -1 and same(found[:-1], TRUE)
+    assert (K.density_clusters(BLOBS[:3]) == -1).all()
     links = K.modularity_links(w)
     assert same(K.feature_link_clusters(BLOBS, links, K.maxmin_seeds(np.hstack([BLOBS, links]), 3)), TRUE)
     assert len(K.anomalous_patterns(BLOBS)) >= 2
@@ -44,3 +50,11 @@ def test_assignment_and_shifts():
         best = min(sum(cost[i][p[i]] for i in range(n)) for p in permutations(range(n + 1), n))
         assert abs(sum(cost[i][j] for i, j in _assignment(cost)) - best) < 1e-12
     assert allowed_shifts(24, 2, 2) == [4, 5, 6, 7, 8, 16, 17, 18, 19, 20]
+
+
+def test_rewiring_keeps_degrees():
+    w = np.triu((RNG.random((30, 30)) < 0.2) * RNG.random((30, 30)), 1)
+    w = w + w.T
+    other = K.rewired(w, 500, seed=3)
+    assert ((other > 0).sum(0) == (w > 0).sum(0)).all() and np.allclose(other, other.T)
+    assert abs(other.sum() - w.sum()) < 1e-9 and (other > 0).sum() == (w > 0).sum() and not np.array_equal(other, w)
