@@ -28,6 +28,27 @@ def silhouette(distances: DataFrame, labels: DataFrame) -> DataFrame:
     return agg.select("id", "label", F.when(F.col("_n") == 1, F.lit(0.0)).otherwise(F.coalesce(s, F.lit(0.0))).alias("silhouette"))
 
 
+def silhouette_squared(points: DataFrame) -> DataFrame:
+    """Silhouette of each long point ``id, label, j, x`` under squared Euclidean distance.
+
+    A point's mean distance to a cluster follows from the cluster's size, mean
+    and mean square, so no pairs are made; clusters of one have 0.
+    """
+    p = points.filter("label >= 0")
+    size = p.groupBy("label").agg(F.countDistinct("id").alias("n"))
+    moments = p.groupBy("label", "j").agg(F.avg("x").alias("m"), F.avg(_square(F.col("x"))).alias("q"))
+    near = (
+        p.join(moments.select(F.col("label").alias("lb"), "j", "m", "q"), "j")
+        .groupBy("id", "label", "lb")
+        .agg(F.sum(_square(F.col("x")) - 2 * F.col("x") * F.col("m") + F.col("q")).alias("d"))
+        .join(F.broadcast(size.select(F.col("label").alias("lb"), "n")), "lb")
+    )
+    own, same = F.col("label") == F.col("lb"), F.try_divide(F.col("d") * F.col("n"), (F.col("n") - 1).cast("double"))
+    agg = near.groupBy("id", "label").agg(F.min(F.when(own, same)).alias("own"), F.min(F.when(~own, F.col("d"))).alias("other"))
+    s = F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other"))
+    return agg.select("id", "label", F.coalesce(s, F.lit(0.0)).alias("silhouette"))
+
+
 def centers(points: DataFrame) -> DataFrame:
     """``label, j, c, n``: cluster means of long points ``id, label, j, x``."""
     return points.filter("label >= 0").groupBy("label", "j").agg(F.avg("x").alias("c"), F.count(F.lit(1)).alias("n"))

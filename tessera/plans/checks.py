@@ -18,7 +18,7 @@ shared("check_edge_order", f"WITH {SQL_FLOWS} SELECT count(*) AS n, count(CASE W
 shared("check_keys_unique", f"{_P}, k AS (SELECT id, t, cat, count(*) AS n FROM panel GROUP BY id, t, cat) SELECT count(*) AS n_keys, count(CASE WHEN n > 1 THEN 1 END) AS repeated FROM k")
 shared("check_references", "SELECT count(*) AS n, count(CASE WHEN c.c_custkey IS NULL THEN 1 END) AS orphans FROM orders LEFT JOIN customer c ON o_custkey = c.c_custkey")
 shared("check_fact_threshold", f"{_C}, f AS (SELECT seg, avg(bal) AS x FROM cust GROUP BY seg) SELECT seg, x >= 4500 AS holds FROM f")
-shared("controls_by_kind", f"{_C}, f AS (SELECT 'hard' AS kind, count(*) = count(DISTINCT id) AS ok FROM cust UNION ALL SELECT 'soft', abs(avg(bal) - 4500) <= 450 FROM cust UNION ALL SELECT 'info', true FROM cust WHERE id = 1) SELECT kind, count(*) AS n, count(CASE WHEN ok THEN 1 END) AS passed FROM f GROUP BY kind")
+shared("controls_by_kind", f"{_C}, f AS (SELECT 'hard' AS kind, count(*) = count(DISTINCT id) AS ok FROM cust UNION ALL SELECT 'soft', abs(avg(bal) - 4500) <= 450 FROM cust UNION ALL SELECT 'info', true) SELECT kind, count(*) AS n, count(CASE WHEN ok THEN 1 END) AS passed FROM f GROUP BY kind")
 shared("nonnull_coverage", f"{_W} SELECT count(*) AS n, {', '.join(f'count({p}) AS {p}' for p in PARTS)} FROM wide")
 
 # ---- bins and classes -------------------------------------------------------
@@ -57,6 +57,6 @@ shared("clipped_values", f"{_C}, q AS (SELECT min(CASE WHEN c >= 0.05e0 THEN bal
 shared("same_group_edges", f"WITH {SQL_FLOWS} SELECT p.n_regionkey AS g, count(*) AS n, count(CASE WHEN p.n_regionkey = q.n_regionkey THEN 1 END) AS inside, {_r('avg(w)', 4)} AS w FROM both_ways JOIN nation p ON a = p.n_nationkey JOIN nation q ON b = q.n_nationkey GROUP BY p.n_regionkey")
 shared("boundary_edges", f"WITH {SQL_FLOWS} SELECT a, b, w FROM strong JOIN nation p ON a = p.n_nationkey JOIN nation q ON b = q.n_nationkey WHERE p.n_regionkey <> q.n_regionkey")
 shared("mean_over_targets", f"{_C}, t AS (SELECT seg, 'bal' AS target, avg(CASE WHEN bal > 5000 THEN 1.0e0 ELSE 0.0e0 END) AS share FROM cust GROUP BY seg UNION ALL SELECT seg, 'orders', avg(CASE WHEN n_orders > 8 THEN 1.0e0 ELSE 0.0e0 END) FROM cust GROUP BY seg) SELECT seg, {_r('avg(share)')} AS share FROM t GROUP BY seg")
-shared("outer_merge", f"{_C}, x AS (SELECT id, bal FROM cust WHERE id % 2 = 0), y AS (SELECT id, spend FROM cust WHERE id % 3 = 0) SELECT coalesce(x.id, y.id) AS id, bal, spend FROM x FULL OUTER JOIN y ON x.id = y.id")
+shared("outer_merge", f"{_C}, x AS (SELECT id, bal FROM cust WHERE bal > 0), y AS (SELECT id, spend FROM cust WHERE n_orders > 0) SELECT coalesce(x.id, y.id) AS id, bal, spend FROM x FULL OUTER JOIN y ON x.id = y.id")
 shared("grid_fill", f"{_P}, g AS (SELECT DISTINCT id FROM panel), m AS (SELECT DISTINCT t FROM panel), has AS (SELECT DISTINCT id, t FROM panel WHERE cat = '5-LOW') SELECT g.id, m.t, CASE WHEN has.id IS NULL THEN 0 ELSE 1 END AS present FROM g CROSS JOIN m LEFT JOIN has ON has.id = g.id AND has.t = m.t")
 shared("category_reference", f"{_P} SELECT cat, CASE cat {' '.join(f'''WHEN '{c}' THEN {i}''' for i, c in enumerate(CATEGORIES))} END AS place, count(*) AS n FROM panel GROUP BY cat")

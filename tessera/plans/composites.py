@@ -42,9 +42,11 @@ shared("road_pairs", "WITH e AS (SELECT c_nationkey AS a, s_nationkey AS b, l_qu
 shared("node_rollup", f"{_C}, m AS (SELECT id, CASE WHEN g < 5 THEN 1000 + g ELSE id END AS node, bal AS v, n_orders AS w FROM cust) SELECT node, count(*) AS members, {_r('sum(CASE WHEN w > 0 THEN v * w END) / sum(CASE WHEN w > 0 THEN w END)', 4)} AS v, CAST(sum(w) AS bigint) AS w FROM m GROUP BY node HAVING sum(w) > 0")
 shared("node_distance", f"WITH {_AT}, m AS (SELECT id, g AS node, x, y, id + 1 AS w FROM at_), d AS (SELECT a.node AS a, b.node AS b, a.w * b.w AS w, sqrt(CAST((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS double)) AS d FROM m a JOIN m b ON a.node < b.node) SELECT a, b, {_r('sum(w * d) / sum(w)')} AS d, {_r('min(d)')} AS least_d FROM d GROUP BY a, b")
 
-_SETS = f"""{_C}, c AS (SELECT id, g, seg, bal, spend FROM cust WHERE id <= 400),
-near AS (SELECT a.id, a.spend AS y, b.spend AS z, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.bal - b.bal), b.id) AS k FROM c a JOIN c b ON a.seg = b.seg AND a.id <> b.id),
-own AS (SELECT a.id, b.spend AS z, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.bal - b.bal), b.id) AS k FROM c a JOIN c b ON a.g = b.g AND a.id <> b.id),
+#: The ten nearest by balance are among the ten before and the ten after in order of balance.
+_OFF = "off AS (" + " UNION ALL ".join(f"SELECT {i} AS o" for i in range(-10, 11) if i) + ")"
+_SETS = f"""{_C}, {_OFF}, c AS (SELECT id, g, seg, bal, spend, row_number() OVER (PARTITION BY seg ORDER BY bal, id) AS rs, row_number() OVER (PARTITION BY g ORDER BY bal, id) AS rg FROM cust),
+near AS (SELECT a.id, a.spend AS y, b.spend AS z, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.bal - b.bal), b.id) AS k FROM c a CROSS JOIN off JOIN c b ON a.seg = b.seg AND b.rs = a.rs + o),
+own AS (SELECT a.id, b.spend AS z, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.bal - b.bal), b.id) AS k FROM c a CROSS JOIN off JOIN c b ON a.g = b.g AND b.rg = a.rg + o),
 ea AS (SELECT id, abs(max(y) - median(z)) AS e FROM near WHERE k <= 10 GROUP BY id),
 eb AS (SELECT own.id, abs(max(c.spend) - median(z)) AS e FROM own JOIN c ON c.id = own.id WHERE k <= 10 GROUP BY own.id)"""
 shared("comparable_set_errors", f"{_SETS} SELECT ea.id, {_r('ea.e', 4)} AS by_type, {_r('eb.e', 4)} AS by_group FROM ea JOIN eb ON ea.id = eb.id")

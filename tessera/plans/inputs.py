@@ -63,8 +63,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id, label, j, x`` of the first eight coordinates of every vector."""
-    return vectors(spark, sf_dir).select("id", "label", F.posexplode(F.slice("v", 1, 8)).alias("j", "x")).withColumn("x", F.col("x").cast("double"))
+    """``id, label, j, x``: every coordinate of every vector."""
+    return vectors(spark, sf_dir).select("id", "label", F.posexplode("v").alias("j", "x")).withColumn("x", F.col("x").cast("double"))
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +99,8 @@ SQL_CUSTOMERS = """cust AS (
   FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, round(sum(o_totalprice), 2) AS spend FROM orders GROUP BY o_custkey)
     ON c_custkey = o_custkey)"""
 SQL_COORDINATES = """pts AS (
-  SELECT vec_id AS id, CAST(label AS bigint) AS label, CAST(j AS integer) AS j, CAST(embedding[j + 1] AS double) AS x
-  FROM embeddings, (SELECT unnest(range(8)) AS j))"""
+  SELECT id, label, CAST(j - 1 AS integer) AS j, CAST(v[j] AS double) AS x
+  FROM (SELECT vec_id AS id, CAST(label AS bigint) AS label, embedding AS v, unnest(range(1, len(embedding) + 1)) AS j FROM embeddings))"""
 SQL_FLOWS = """flows AS (
   SELECT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b, CAST(count(*) AS double) AS w
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey

@@ -8,6 +8,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.fpm import FPGrowth
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def kmeans_types(spark, sf_dir):
 
 
 def _labelless(spark, sf_dir):
-    return vectors(spark, sf_dir).drop("label").withColumn("v", F.slice("v", 1, 16))
+    return vectors(spark, sf_dir).drop("label")
 
 
 @query("bisecting_types")
@@ -35,7 +36,7 @@ def bisecting_types(spark, sf_dir):
 
 @query("gmm_types")
 def gmm_types(spark, sf_dir):
-    return K.gaussian_mixture(_labelless(spark, sf_dir).withColumn("v", F.slice("v", 1, 4)), "v", 3).select("id", "label")
+    return K.gaussian_mixture(_labelless(spark, sf_dir), "v", 3).select("id", "label")
 
 
 @query("pca_scores")
@@ -136,10 +137,9 @@ def missingness_auc(spark, sf_dir):
 @query("tree_kappa")
 def tree_kappa(spark, sf_dir):
     """Agreement beyond chance of a shallow tree with the labels of the vectors, on held-out rows."""
-    v = vectors(spark, sf_dir).select("id", F.col("label").cast("double").alias("label"), *[F.col("v")[j].cast("double").alias(f"x{j}") for j in range(8)])
-    rows = VectorAssembler(inputCols=[f"x{j}" for j in range(8)], outputCol="features").transform(v)
-    held = rows.filter("id % 5 = 0")
-    guess = DecisionTreeClassifier(maxDepth=3).fit(rows.filter("id % 5 <> 0")).transform(held)
+    v = vectors(spark, sf_dir).select("id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("v").cast("array<double>")).alias("features"))
+    held = v.filter("id % 5 = 0")
+    guess = DecisionTreeClassifier(maxDepth=3).fit(v.filter("id % 5 <> 0")).transform(held)
     cells = guess.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("c"))
     every = Window.partitionBy()
     margins = cells.select(
@@ -167,11 +167,10 @@ def leiden_types(spark, sf_dir):
 @query("density_types")
 def density_types(spark, sf_dir):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["v"].tolist())
-        return pd.DataFrame({"id": pdf["id"], "label": K.density_clusters(x, 5)})
+        ids, x = _series(pdf)
+        return pd.DataFrame({"id": ids, "label": K.density_clusters(x, 3)})
 
-    some = vectors(spark, sf_dir).filter("id < 400").select("id", F.slice("v", 1, 8).alias("v"), F.lit(0).alias("run"))
-    return K.per_group(some, ["run"], run, "id long, label int")
+    return K.per_group(monthly(spark, sf_dir).select("id", "t", "y").withColumn("run", F.lit(0)), ["run"], run, "id long, label int")
 
 
 @query("rewired_modularity")

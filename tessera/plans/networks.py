@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import gravity_log, haversine_km
@@ -13,16 +14,13 @@ from .base import query
 from .inputs import SQL_CUSTOMERS, SQL_FLOWS, SQL_MONTHLY, customers, monthly, read, strong_flows, vectors
 from .panels import _r, rounded
 
-#: All-pairs queries run within blocks of this many neighbouring ids.
-BLOCK = 100
-
-_VEC = f"""WITH vec AS (SELECT vec_id AS id, CAST(embedding AS double[]) AS v, vec_id // {BLOCK} AS blk, CAST(label AS bigint) AS label FROM embeddings),
-pr AS (SELECT x.id AS a, y.id AS b, x.v AS va, y.v AS vb FROM vec x JOIN vec y ON x.blk = y.blk AND x.id < y.id)"""
+#: Pairs are those within a peer group, here the vectors' label.
+_VEC = """WITH vec AS (SELECT vec_id AS id, CAST(embedding AS double[]) AS v, CAST(label AS bigint) AS label FROM embeddings),
+pr AS (SELECT x.id AS a, y.id AS b, x.v AS va, y.v AS vb FROM vec x JOIN vec y ON x.label = y.label AND x.id < y.id)"""
 
 
 def _pairs(spark, sf_dir):
-    v = vectors(spark, sf_dir).withColumn("blk", F.floor(F.col("id") / BLOCK))
-    return G.pairs(v, "v", "blk")
+    return G.pairs(vectors(spark, sf_dir), "v", "label")
 
 
 @query("cosine_pairs", f"{_VEC} SELECT a, b, {_r('list_dot_product(va, vb) / sqrt(list_dot_product(va, va) * list_dot_product(vb, vb))')} AS s FROM pr")
@@ -79,13 +77,6 @@ def edge_jaccard(spark, sf_dir):
     return rounded(G.edge_jaccard(G.knn_edges(lists, "d"), G.knn_edges(lists.filter("rank <= 3"), "d")), "jaccard")
 
 
-@query("neighbor_label_agreement", f"{_KNN} SELECT x.label, {_r('avg(CASE WHEN x.label = y.label THEN 1.0 ELSE 0.0 END)')} AS same, count(*) AS n FROM lists JOIN vec x ON lists.a = x.id JOIN vec y ON lists.b = y.id GROUP BY x.label")
-def neighbor_label_agreement(spark, sf_dir):
-    lab = vectors(spark, sf_dir).select("id", "label")
-    met = _lists(spark, sf_dir).join(lab.select(F.col("id").alias("a"), "label"), "a").join(lab.select(F.col("id").alias("b"), F.col("label").alias("l2")), "b")
-    return rounded(met.groupBy("label").agg(F.avg((F.col("label") == F.col("l2")).cast("double")).alias("same"), F.count(F.lit(1)).alias("n")), "same")
-
-
 _CORR = f"WITH {SQL_MONTHLY}"
 
 
@@ -164,11 +155,13 @@ def assortativity(spark, sf_dir):
     return rounded(G.assortativity(e, d), "assortativity")
 
 
-@query("components", f"""WITH RECURSIVE {SQL_FLOWS}, part_ AS (SELECT a, b FROM both_ways WHERE (a + b) % 3 = 0),
+@query("components", f"""WITH RECURSIVE {SQL_FLOWS}, part_ AS (SELECT a, b FROM both_ways WHERE w >= (SELECT avg(w) + stddev_samp(w) FROM strong)),
     reach AS (SELECT n_nationkey AS id, n_nationkey AS r FROM nation UNION SELECT part_.b, reach.r FROM reach JOIN part_ ON part_.a = reach.id)
     SELECT id, min(r) AS component FROM reach GROUP BY id""")
 def components(spark, sf_dir):
-    some = strong_flows(spark, sf_dir).filter("(a + b) % 3 = 0")
+    every = Window.partitionBy()
+    strong = strong_flows(spark, sf_dir).withColumn("_t", F.avg("w").over(every) + F.stddev_samp("w").over(every))
+    some = strong.filter("w >= _t").drop("_t")
     return G.connected_components(some, _nations(spark, sf_dir))
 
 

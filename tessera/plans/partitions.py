@@ -4,35 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import graphs as G
 from tessera.operators import selection as C
 from tessera.operators import tracking as T
 from tessera.operators import validity as V
 
 from .base import query
-from .inputs import SQL_COORDINATES, SQL_CUSTOMERS, SQL_MONTHLY, coordinates, customers, monthly, vectors
-from .networks import BLOCK, _GAUSS, _pairs
+from .inputs import SQL_COORDINATES, SQL_CUSTOMERS, SQL_MONTHLY, coordinates, customers, monthly
 from .panels import _r, rounded
 
-_SIL = _GAUSS + f""",
-two AS (SELECT a, b, d FROM ds UNION ALL SELECT b, a, d FROM ds),
-size AS (SELECT id, label, count(*) OVER (PARTITION BY label) AS n FROM vec WHERE id < {BLOCK}),
-near AS (SELECT a, y.label AS lb, avg(d) AS m FROM two JOIN size y ON b = y.id WHERE a < {BLOCK} GROUP BY 1, 2),
-sil AS (SELECT s.id, s.label, max(n) AS n, min(CASE WHEN lb = s.label THEN m END) AS own, min(CASE WHEN lb <> s.label THEN m END) AS other FROM size s LEFT JOIN near ON a = s.id GROUP BY 1, 2)"""
+_PTS = f"WITH {SQL_COORDINATES}"
 
 
-@query("silhouette", f"{_SIL} SELECT id, label, {_r('CASE WHEN n = 1 THEN 0.0 ELSE coalesce((other - own) / greatest(other, own), 0.0) END')} AS silhouette FROM sil")
+@query("silhouette", f"""{_PTS}, z AS (SELECT label, count(DISTINCT id) AS n FROM pts GROUP BY label), m AS (SELECT label AS lb, j, avg(x) AS m, avg(x * x) AS q FROM pts GROUP BY 1, 2),
+    d AS (SELECT id, pts.label, lb, sum(x * x - 2 * x * m + q) AS d FROM pts JOIN m ON pts.j = m.j GROUP BY 1, 2, 3),
+    s AS (SELECT id, d.label, min(CASE WHEN d.label = lb THEN d * n / nullif(n - 1, 0) END) AS own, min(CASE WHEN d.label <> lb THEN d END) AS other FROM d JOIN z ON z.label = lb GROUP BY 1, 2)
+    SELECT id, label, {_r("coalesce((other - own) / greatest(own, other), 0.0)")} AS silhouette FROM s""")
 def silhouette(spark, sf_dir):
-    first = vectors(spark, sf_dir).filter(F.col("id") < BLOCK).select("id", "label")
-    d = G.euclid(_pairs(spark, sf_dir)).filter(F.col("b") < BLOCK)
-    return rounded(V.silhouette(d, first), "silhouette")
-
-
-_PTS = f"WITH {SQL_COORDINATES}"
+    return rounded(V.silhouette_squared(coordinates(spark, sf_dir)), "silhouette")
 
 
 @query("calinski_harabasz", f"""{_PTS}, m AS (SELECT j, label, avg(x) OVER (PARTITION BY j, label) AS c, avg(x) OVER (PARTITION BY j) AS g, x FROM pts),
-    s AS (SELECT sum((c - g) * (c - g)) AS b, sum((x - c) * (x - c)) AS w, count(DISTINCT label) AS k, count(*) / 8 AS n FROM m) SELECT {_r("b / (k - 1) / (w / (n - k))")} AS ch FROM s""")
+    s AS (SELECT sum((c - g) * (c - g)) AS b, sum((x - c) * (x - c)) AS w, count(DISTINCT label) AS k, count(*) / count(DISTINCT j) AS n FROM m) SELECT {_r("b / (k - 1) / (w / (n - k))")} AS ch FROM s""")
 def calinski_harabasz(spark, sf_dir):
     return rounded(V.calinski_harabasz(coordinates(spark, sf_dir)), "ch")
 

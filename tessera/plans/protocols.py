@@ -10,7 +10,7 @@ from tessera.operators import protocols as Q
 from tessera.operators import validity as V
 
 from .base import query
-from .inputs import CATEGORIES, PARTS, SQL_FLOWS, SQL_PANEL, coordinates, panel, read, strong_flows
+from .inputs import CATEGORIES, PARTS, SQL_FLOWS, SQL_PANEL, panel, read, strong_flows
 from .panels import _r, rounded
 
 REPS = 20
@@ -65,12 +65,17 @@ def baseline_z(spark, sf_dir):
     return rounded(Q.z_score(Q.random_baseline(labels, edges, REPS, "z"), "avi", observed), "observed", "mean", "sd", "z")
 
 
+def _totals(spark, sf_dir):
+    """Log-ratios of each nation over the whole panel."""
+    return _window_points(spark, sf_dir).groupBy("id", "j").agg(F.avg("x").alias("x"))
+
+
 @query("seed_agreement")
 def seed_agreement(spark, sf_dir):
-    fits = Q.many_seeds(coordinates(spark, sf_dir).filter("id < 200"), 4, range(4))
+    fits = Q.many_seeds(_totals(spark, sf_dir), 4, range(4))
     return rounded(Q.seed_agreement(fits), "ari")
 
 
 @query("best_seed")
 def best_seed(spark, sf_dir):
-    return Q.best_seed(Q.many_seeds(coordinates(spark, sf_dir).filter("id < 200"), 4, range(4)))
+    return Q.best_seed(Q.many_seeds(_totals(spark, sf_dir), 4, range(4)))

@@ -24,9 +24,9 @@ def _permuted(spark, sf_dir):
     return B.permute_within(customers(spark, sf_dir), "n_orders", "id", ["g"], REPS, "p")
 
 
-@query("permute_within", f"{_PERM} SELECT rep, g, id, n_orders FROM perm WHERE g = 7")
+@query("permute_within", f"{_PERM} SELECT rep, g, id, n_orders FROM perm")
 def permute_within(spark, sf_dir):
-    return _permuted(spark, sf_dir).filter("g = 7").select("rep", "g", "id", "n_orders")
+    return _permuted(spark, sf_dir).select("rep", "g", "id", "n_orders")
 
 
 _NULL = _PERM + ", stat AS (SELECT rep, avg(CASE WHEN bal > 5000 THEN p.n_orders END) - avg(CASE WHEN bal <= 5000 THEN p.n_orders END) AS d FROM perm p JOIN cust USING (id) GROUP BY rep), obs AS (SELECT avg(CASE WHEN bal > 5000 THEN n_orders END) - avg(CASE WHEN bal <= 5000 THEN n_orders END) AS o FROM cust)"
