@@ -6,9 +6,14 @@ edge table ``a, b, w`` with ``a < b``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows and queries of a block of the neighbour search.
+BLOCK_ROWS, BLOCK_QUERIES = 65536, 4096
+
 
 def pairs(items: DataFrame, value: str, block: str | None = None) -> DataFrame:
     """``a, b, va, vb`` of all pairs ``a < b``; within blocks if a block column is given.
@@ -76,6 +81,54 @@ def knn_lists(sims: DataFrame, k: int, value: str = "s", nearest_low: bool = Fal
     return both_ways(sims.filter(F.col(value).isNotNull()), value).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def nearest_in_block(ids: np.ndarray, queries: np.ndarray, others: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, row ids and distances of the ``k`` nearest rows of each query, ties by id; a query is not its own neighbour."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    lengths = (rows * rows).sum(axis=1)
+    for at in range(0, len(ids), 64):
+        own, q = ids[at : at + 64], queries[at : at + 64]
+        squares = (q * q).sum(axis=1)
+        near = squares[:, None] + lengths[None, :] - 2 * (q @ rows.T)
+        near[own[:, None] == others[None, :]] = np.inf
+        last = min(k, near.shape[1]) - 1
+        # The product's error is far below the slack; what it lets in is measured exactly.
+        limit = np.partition(near, last, axis=1)[:, last] + 1e-9 * (squares + lengths.max())
+        i, j = np.nonzero((near <= limit[:, None]) & np.isfinite(near))
+        d = np.concatenate([np.zeros(0)] + [np.sqrt(np.square(q[i[m : m + 65536]] - rows[j[m : m + 65536]]).sum(axis=1)) for m in range(0, len(i), 65536)])
+        order = np.lexsort((others[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((own[i[kept]], others[j[kept]], d[kept]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, value: str = "v") -> DataFrame:
+    """``a, b, d, rank``: the k nearest of all ``rows`` to each of ``queries``, both ``id, value``; exact, ties by id.
+
+    Every query meets every row, in blocks; only k rows a query leave a block.
+    """
+    n_rows, n_queries = (max(1, -(-df.count() // size)) for df, size in ((rows, BLOCK_ROWS), (queries, BLOCK_QUERIES)))
+
+    def blocks(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        number = F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int").alias(own)
+        kept = df.filter(F.col(value).isNotNull()).select(F.col("id").cast("long").alias("id"), F.col(value).alias("v"), number)
+        return kept.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+        (ids, q), (others, x) = (
+            (t.column("id").to_numpy(), t.column("v").combine_chunks().flatten().to_numpy().astype(float).reshape(t.num_rows, -1)) for t in (left, right)
+        )
+        a, b, d = nearest_in_block(ids, q, others, x, k)
+        return pa.table({"a": a, "b": b, "d": d})
+
+    left, right = blocks(queries, "_q", n_queries, "_r", n_rows), blocks(rows, "_r", n_rows, "_q", n_queries)
+    some = left.groupBy("_q", "_r").cogroup(right.groupBy("_q", "_r")).applyInArrow(search, "a long, b long, d double")
+    w = Window.partitionBy("a").orderBy("d", "b")
+    return some.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def knn_edges(lists: DataFrame, value: str = "s", mutual: bool = False) -> DataFrame:
     """Union of neighbour lists, or their intersection."""
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")

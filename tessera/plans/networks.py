@@ -77,6 +77,51 @@ def edge_jaccard(spark, sf_dir):
     return rounded(G.edge_jaccard(G.knn_edges(lists, "d"), G.knn_edges(lists.filter("rank <= 3"), "d")), "jaccard")
 
 
+#: The neighbour queries over all vectors, whatever their label.
+_ALL = """WITH vec AS (SELECT vec_id AS id, CAST(embedding AS double[]) AS v, CAST(label AS bigint) AS label FROM embeddings),
+two AS (SELECT x.id AS a, y.id AS b, list_distance(x.v, y.v) AS d FROM vec x JOIN vec y ON x.id <> y.id),
+lists AS (SELECT * FROM (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rk FROM two) WHERE rk <= 5),
+uni AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(d) AS w, count(*) AS n FROM lists GROUP BY 1, 2)"""
+
+
+def _all_lists(spark, sf_dir, k=5):
+    v = vectors(spark, sf_dir)
+    return G.nearest(v, v, k)
+
+
+@query("all_knn_lists", f"{_ALL} SELECT a, b, {_r('d')} AS d, CAST(rk AS integer) AS rank FROM lists")
+def all_knn_lists(spark, sf_dir):
+    return rounded(_all_lists(spark, sf_dir), "d").select("a", "b", "d", "rank")
+
+
+@query("all_knn_edges", f"{_ALL} SELECT a, b, {_r('w')} AS w FROM uni")
+def all_knn_edges(spark, sf_dir):
+    return rounded(G.knn_edges(_all_lists(spark, sf_dir), "d"), "w")
+
+
+@query("all_mutual_knn_edges", f"{_ALL} SELECT a, b, {_r('w')} AS w FROM uni WHERE n = 2")
+def all_mutual_knn_edges(spark, sf_dir):
+    return rounded(G.knn_edges(_all_lists(spark, sf_dir), "d", mutual=True), "w")
+
+
+@query("all_k_occurrence", f"{_ALL} SELECT vec.id, count(l.b) AS k_occ FROM vec LEFT JOIN lists l ON l.b = vec.id GROUP BY vec.id")
+def all_k_occurrence(spark, sf_dir):
+    return G.k_occurrence(_all_lists(spark, sf_dir), vectors(spark, sf_dir))
+
+
+@query("all_edge_jaccard", f"{_ALL}, l3 AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM lists WHERE rk <= 3) SELECT {_r('(SELECT count(*) FROM l3) / CAST((SELECT count(*) FROM uni) AS double)')} AS jaccard")
+def all_edge_jaccard(spark, sf_dir):
+    lists = _all_lists(spark, sf_dir)
+    return rounded(G.edge_jaccard(G.knn_edges(lists, "d"), G.knn_edges(lists.filter("rank <= 3"), "d")), "jaccard")
+
+
+@query("neighbor_label_agreement", f"{_ALL} SELECT x.label, {_r('avg(CASE WHEN x.label = y.label THEN 1.0 ELSE 0.0 END)')} AS same, count(*) AS n FROM lists JOIN vec x ON lists.a = x.id JOIN vec y ON lists.b = y.id GROUP BY x.label")
+def neighbor_label_agreement(spark, sf_dir):
+    lab = vectors(spark, sf_dir).select("id", "label")
+    met = _all_lists(spark, sf_dir).join(lab.select(F.col("id").alias("a"), "label"), "a").join(lab.select(F.col("id").alias("b"), F.col("label").alias("l2")), "b")
+    return rounded(met.groupBy("label").agg(F.avg((F.col("label") == F.col("l2")).cast("double")).alias("same"), F.count(F.lit(1)).alias("n")), "same")
+
+
 _CORR = f"WITH {SQL_MONTHLY}"
 
 
