@@ -7,11 +7,11 @@ the template rewrites history, and the row says from where.  The span of a
 turn's text is found the same way: two renderings that differ in one character
 of the text share the turn's head and tail.
 
-Conversations stream through a sorted partition; a worker holds one
-conversation's recent turns.  From ``FULL_TURNS`` turns on, prefixes start at the
-last ``CONTEXT_TURNS`` turns instead of the first, which keeps a long
-conversation linear; a turn rendered both ways must give the same span, else
-whole prefixes are used for the rest of that conversation.
+Conversations stream through a sorted partition.  Whole prefixes are rendered,
+whose cost grows with the square of a conversation's turns, unless the template
+is declared ``turn_local``: it renders every turn by itself, one after the other.
+Then prefixes start at the last ``CONTEXT_TURNS`` turns, a worker holds no more
+than those, and a long conversation is linear.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-FULL_TURNS = 64
 CONTEXT_TURNS = 2
 #: Fixed control strings of the template.
 BEGIN, END = "<|im_start|>", "<|im_end|>"
@@ -52,6 +51,13 @@ def _unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+def turn_local(render: Template) -> Template:
+    """Declare that a template's output is that of its turns one by one; this is not checked."""
+    render.turn_local = True
+    return render
+
+
+@turn_local
 def marked_turns(turns: list[Turn]) -> str:
     """The default template: each turn between control strings, the role on a line of its own."""
     return "".join(f"{BEGIN}{_escape_role(role)}\n{escape(text)}{END}\n" for role, text in turns)
@@ -97,15 +103,13 @@ def spans(turns: Iterator[Turn], render: Template = marked_turns) -> Iterator[di
     within the prefix rendered before (null otherwise).
     """
     context: list[Turn] = []
-    before, piece, offset, whole = render([]), "", 0, True
+    before, offset, local = render([]), 0, getattr(render, "turn_local", False)
     for number, (role, text) in enumerate(turns):
-        if whole and len(context) >= FULL_TURNS:
-            short = context[-CONTEXT_TURNS:]
-            shorter = render(short)
-            whole = shorter[len(render(short[:-1])) :] == piece
-            if whole:
-                offset += len(before) - len(shorter)
-                context, before = short, shorter
+        if local and len(context) > CONTEXT_TURNS:
+            context = context[-CONTEXT_TURNS:]
+            shorter = render(context)
+            offset += len(before) - len(shorter)
+            before = shorter
         now = render([*context, (role, text)])
         same = now.startswith(before)
         start = len(before) if same else common_prefix(before, now)
