@@ -1,14 +1,22 @@
 """Substring dedup over sliding sentence spans.
 
 A text is cut into sentences (at ``.``, ``!``, ``?``, their full-width forms and
-line ends).  A sentence of more than ``PIECE_WORDS`` words is cut further, after
-words chosen by their own hash, so that the same passage is cut alike wherever
-it stands.  Around every piece the shortest run of ``RUN`` or more consecutive
-pieces with ``LEAST_WORDS`` or more words is hashed, once for each piece that
-begins one and once for each that ends one (128 bits of the case-folded words);
-the hashes are joined over the whole corpus, and the pieces covered by any but
-the first occurrence of a repeated run are removed.  "First" is the least
-document key, then the least position.
+line ends).  A sentence is cut further after the word of least hash in every
+window of ``PIECE_WORDS // 2`` consecutive words inside it (winnowing), so that
+no piece is longer than a window and a cut depends on no word further off than
+one: the same passage is cut alike wherever it stands, but for a window's length
+at its ends.  In scripts without blanks every character is cut like a word, and
+two count as one.  Around every piece the shortest run of ``RUN`` or more
+consecutive pieces with ``LEAST_WORDS`` or more words is hashed, once for each
+piece that begins one and once for each that ends one (128 bits of the
+case-folded words); the hashes are joined over the whole corpus, and the pieces
+covered by any but the first occurrence of a repeated run are removed.  "First"
+is the least document key, then the least position.
+
+With windows of W = 8, the cuts at least W - 1 words inside a shared passage of
+L words are the same in both texts.  The first and the last of them are L - 4W + 3
+words apart or more, which is 21 at L = 50: a passage of 50 words always holds a
+common run.
 
 Runs are first counted with map-side combining, so that a passage in a third
 of all documents is one small row per task; only runs that do repeat meet
@@ -20,6 +28,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,43 +41,70 @@ from .common import row_key, stored, without
 
 RUN = 3
 PIECE_WORDS = 16
-#: Long sentences are cut after one word in so many, but not within ``SHORTEST_PIECE`` words.
-CUT_ONE_IN, SHORTEST_PIECE = 4, 4
 #: Shorter runs are common by chance, or are single lines that many documents share.
 LEAST_WORDS = 20
 #: A run's place is ``first piece * STRIDE + pieces``.
 STRIDE = 64
+#: Parts in which the hashes are counted, and Spark's setting that frees shuffle files when a write ends.
+SLICES = 3
+_GIVE_BACK = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: A sentence with the blanks after it; line ends close one too.
 _SENTENCE = re.compile(r"[^\n.!?。！？]*(?:[.!?。！？]+[\"'”’)\]]*|\n|$)\s*")
+#: Characters of scripts written without blanks: Thai to Khmer, Kana, Han and their full-width marks.
+_DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
+_HAS_DENSE = re.compile(f"[{_DENSE}]")
 _WORD = re.compile(r"\S+\s*")
+_UNIT = re.compile(rf"(?:[^\S{_DENSE}]*[{_DENSE}]|[^\s{_DENSE}]+)\s*")
+
+
+def cuts(hashes: list[int], window: int) -> list[int]:
+    """Places of the least value of every window, the last of equal ones."""
+    least: list[int] = []
+    at = -1
+    for end in range(window, len(hashes) + 1):
+        if at < end - window:
+            low = min(hashes[end - window : end])
+            at = end - 1
+            while hashes[at] != low:
+                at -= 1
+        elif hashes[end - 1] <= hashes[at]:
+            at = end - 1
+        if not least or least[-1] != at:
+            least.append(at)
+    return least
 
 
 def pieces(text: str, most_words: int = PIECE_WORDS) -> list[str]:
     """Consecutive pieces whose concatenation is ``text``."""
-    out = []
-    for match in _SENTENCE.finditer(text):
-        part = match.group()
+    out, window, crc = [], max(1, most_words // 2), zlib.crc32
+    word = _UNIT if not text.isascii() and _HAS_DENSE.search(text) else _WORD
+    for part in _SENTENCE.findall(text):
         if not part:
             continue
-        if part.count(" ") < most_words and len(part) < 4096:
+        if len(part) <= window:
             out.append(part)
             continue
-        words = _WORD.findall(part)
-        if len(words) <= most_words:
+        words = word.findall(part)
+        if len(words) <= window:
             out.append(part)
             continue
-        begin, held = match.start(), 0
-        at = match.end() - sum(map(len, words))
-        for number, word in enumerate(words, 1):
-            at, held = at + len(word), held + 1
-            chosen = zlib.crc32(word.strip().lower().encode()) % CUT_ONE_IN == 0
-            if number == len(words) or held == most_words or (chosen and held >= SHORTEST_PIECE):
-                out.append(text[begin:at])
-                begin, held = at, 0
+        held = 0
+        words[0] = part[: len(part) - sum(map(len, words[1:]))]
+        for at in cuts([crc(w.strip().lower().encode("utf-8", "surrogatepass")) for w in words[:-1]], window):
+            out.append("".join(words[held : at + 1]))
+            held = at + 1
+        out.append("".join(words[held:]))
     return out
 
 
+def size_of(folded: str) -> int:
+    """Words of a piece, in halves; two characters of a script without blanks make one."""
+    if folded.isascii() or not (dense := len(_HAS_DENSE.findall(folded))):
+        return 2 * (folded.count(" ") + 1)
+    return dense + 2 * len(_HAS_DENSE.sub(" ", folded).split())
+
+
 def runs(parts: list[str], size: int = RUN, least_words: int = LEAST_WORDS) -> tuple[list[int], list[bytes]]:
     """Place and 128-bit digest of every run."""
     import xxhash
@@ -76,8 +112,9 @@ def runs(parts: list[str], size: int = RUN, least_words: int = LEAST_WORDS) -> t
     if max(size, least_words) >= STRIDE:
         raise ValueError(f"size and least_words must be below {STRIDE}")
     # Pieces without a word neither begin a run nor count in one.
-    folded = [f for p in parts if (f := " ".join(p.lower().split()).encode())]
-    lengths = [f.count(b" ") + 1 for f in folded]
+    plain = [f for p in parts if (f := " ".join(p.lower().split()))]
+    folded, lengths = [f.encode("utf-8", "surrogatepass") for f in plain], [size_of(f) for f in plain]
+    least_words *= 2
     places: set[int] = set()
     n, end, total = len(folded), 0, 0
     for begin in range(n):  # the shortest run that begins here
@@ -98,7 +135,7 @@ def runs(parts: list[str], size: int = RUN, least_words: int = LEAST_WORDS) -> t
         total -= lengths[end - 1]
     where = sorted(places)
     digest = xxhash.xxh3_128_digest
-    return where, [digest(b" ".join(folded[p // STRIDE : p // STRIDE + p % STRIDE])) for p in where]
+    return where, [digest(b"\n".join(folded[p // STRIDE : p // STRIDE + p % STRIDE])) for p in where]
 
 
 def span_rows(df: DataFrame, text: str = "text", size: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -132,8 +169,18 @@ def repeated_positions(df: DataFrame, text: str = "text", size: int = RUN, least
     """``doc_id, _tkey, starts array<long>``: places of the non-first repeated runs."""
     rows = stored(span_rows(df, text, size, least_words))
     # Half a digest is enough to drop nearly all runs; what it keeps by chance goes below.
-    maybe = rows.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1")
-    some = stored(rows.join(maybe, "h1", "left_semi"))
+    # One slice of the hashes after the other, each giving back its shuffle files, bounds the disk.
+    conf, kept = df.sparkSession.conf, []
+    was = conf.get(_GIVE_BACK)
+    conf.set(_GIVE_BACK, "true")
+    try:
+        for number in range(SLICES):
+            part = rows.filter(F.pmod("h1", F.lit(SLICES)) == number)
+            maybe = part.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1")
+            kept.append(stored(part.join(maybe, "h1", "left_semi")))
+    finally:
+        conf.set(_GIVE_BACK, was)
+    some = reduce(DataFrame.unionByName, kept)
     place = F.struct("doc_id", "_tkey", "pos")
     known = some.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(
         ~F.col("first").eqNullSafe(F.col("last"))
