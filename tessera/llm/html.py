@@ -27,6 +27,9 @@ from .common import without
 #: Fixed sets of HTML: elements that never close, that hold no visible text, and that flow inside a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
+#: Of these, those that a closing slash leaves empty, and those whose tag alone goes if no end tag follows.
+FOREIGN = frozenset({"svg", "math"})
+OPEN_ALONE = FOREIGN | {"noscript", "template"}
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -91,8 +94,11 @@ def leaf_blocks(html: str) -> list[Block]:
         if name not in INLINE and name not in RAW:
             flush()
         if name in RAW:
+            if name in FOREIGN and match[3].endswith("/"):
+                continue
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            at = close.end() if close else len(html)
+            if close or name not in OPEN_ALONE:
+                at = close.end() if close else len(html)
             continue
         if name in VOID or match[3].endswith("/"):
             continue
