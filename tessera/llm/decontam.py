@@ -188,7 +188,8 @@ def _search_shard(row: dict, blocks: list[Windows], slop: int):
         for w in np.flatnonzero((mapped != -1).all(axis=1)).tolist():
             terms = [t for t in mapped[w].tolist() if t >= 0]
             close = proximity_matches([postings(t) for t in set(terms)], slop)
-            if not len(close):
+            # A phrase of up to slop + 1 words lies within slop of any of them.
+            if not len(close) and len(terms) <= slop + 1:
                 continue
             for d in np.unique(np.searchsorted(starts, close, "right") - 1).tolist():
                 near[d].update(windows.items[w])
@@ -214,6 +215,8 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     those with a window whose words all lie within ``slop`` of its rarest one.
     The test set is read by the driver, at most ``TEST_SET_BYTES`` of text, and
     its windows are broadcast; a larger one is searched in several calls.
+    Items without an ``item_id`` cannot be named and are ignored: what they
+    hold is not found in any document.
     """
     if max(window, slop) >= GAP:
         raise ValueError(f"window and slop must be below {GAP}")
