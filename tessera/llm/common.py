@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -20,12 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; set one only where none is set."""
+    """Use the shared folder the cluster names; a temporary one only where driver and executors are one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -34,15 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``; used only to choose partition counts."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size))
-
-
-def fan_out(df: DataFrame, bytes_each: int, least: int = 32, most: int = 65536) -> int:
-    """How many buckets give each about ``bytes_each`` of ``df``."""
-    return max(least, min(most, -(-plan_bytes(df) // bytes_each)))
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """Catalyst's size estimate of ``df``, or its bytes of text where that is unknown; chooses partition counts only."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        size = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    return size
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
@@ -76,6 +75,35 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``df`` has a column so called (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], by: str, hot_rows: int = 4096, most_hot: int = 2000) -> DataFrame:
+    """``rows`` joined with ``keys`` on non-null ``on``, hot keys dealt over many tasks.
+
+    ``keys`` has one row per key, with ``n``, the rows it meets, and is
+    materialised.  Keys of over ``hot_rows`` rows and over one in ``most_hot`` of
+    all are hot; there are at most ``most_hot`` of them, whatever the input, so
+    they are broadcast.  Rows of a hot key are dealt by the hash of ``by`` over
+    64 salts, and its entry goes to each; others meet in a plain join.
+    """
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    salts, limit = 64, max(hot_rows, total // most_hot)
+    hot = keys.filter(F.col("n") > limit).select(*on, F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(0)
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_hot")
+    every = F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(keys.withColumn("_salt", F.explode(every)).drop("n"), [*on, "_salt"]).drop("_salt")
+
+
 def planes(values: np.ndarray, width: int = 4) -> bytes:
     """Little-endian unsigned values of ``width`` bytes by byte planes, which compress well."""
     return values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fan_out, plan_bytes, planes, stored, unplanes
+from .common import planes, shuffle_width, stored, text_bytes, unplanes
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Documents with crc32(id) % FOLDS == HELD_OUT are not learned from.
@@ -263,13 +263,13 @@ def _chunk_rows(number: int, rows: list[tuple], buckets: int, groups: int) -> pa
     words[rank] = list(numbers)
     bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
     order = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    used, bounds = np.unique(bucket[order], return_index=True)
+    bounds = np.append(bounds, len(order))
     texts = np.bincount([g for h, (_, _, g) in zip(held, rows, strict=True) if not h], minlength=groups).tolist()
     out = [(number, -1, [d for d, _, _ in rows], held, sizes.tolist(), texts, planes(codes), None, None, None)]
-    for b in range(buckets):
-        some = order[bounds[b] : bounds[b + 1]]
-        if len(some):
-            out.append((number, b, None, None, None, None, None, b"\n".join(words[some]), planes(some), planes(counts[:, some].ravel())))
+    for b, at, end in zip(used.tolist(), bounds[:-1], bounds[1:], strict=True):
+        some = order[at:end]
+        out.append((number, b, None, None, None, None, None, b"\n".join(words[some]), planes(some), planes(counts[:, some].ravel())))
     kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), *[pa.binary()] * 4]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=_NAMES)
 
@@ -285,8 +285,9 @@ def chunks(docs: DataFrame, text: str = "text", group: str | None = None, names:
     chosen = [F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")]
     chosen.append((F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g"))
     rows = docs.select(*chosen)
-    buckets = fan_out(rows, BUCKET_BYTES)
-    largest = max(CHUNK_BYTES, min(64 << 20, plan_bytes(rows) >> 12))
+    whole = text_bytes(rows)
+    buckets = max(32, -(-whole // BUCKET_BYTES))
+    largest = max(CHUNK_BYTES, min(64 << 20, whole >> 12))
     place = {g: i for i, g in enumerate(names or [])}
     other = len(place)
 
@@ -331,7 +332,9 @@ def training_words(parts: DataFrame) -> DataFrame:
         return pa.table({"word": pa.array([words[i] for i in seen], pa.binary()), "c": pa.ListArray.from_arrays(offsets, by_word)})
 
     rows = parts.filter("bucket >= 0").select("bucket", "words", "counts")
-    return stored(rows.groupBy("bucket").applyInArrow(run, "word binary, c array<long>"))
+    # Dealt evenly: the rounds of expectation-maximisation read this table, and buckets may come in a few tasks.
+    found = rows.groupBy("bucket").applyInArrow(run, "word binary, c array<long>")
+    return stored(found.repartition(max(32, shuffle_width(parts.sparkSession)), "word"))
 
 
 def fit_pieces(words: DataFrame, name: str = VOCABULARY, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:

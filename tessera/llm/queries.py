@@ -17,7 +17,7 @@ def op1_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spans.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return spans.remove_repeats(docs, sentences=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ out: **every** pair within the radius shares its masked bits in some table.
 A bucket is never expanded into pairs.  Small buckets return a spanning forest
 of their links.  Large ones (many near copies with distinct fingerprints) are
 linked exactly through *midpoints*: two fingerprints within ``r`` bits share a
-point within ``r / 2`` of both, and two that share such a point are within
-``r``; each fingerprint is joined to the least one around each midpoint.
+point within ``r / 2`` of both (for an odd radius, of one, and half a bit more of the
+other), and two that share such a point are within ``r``; each fingerprint is
+joined to the least of the nearer ones around each midpoint.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import cut, row_key, without
+from .common import cut, fresh, row_key, spread_join, without
 
 BITS = 64
 RADIUS = 4
@@ -149,12 +150,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_R
 
 
 def midpoint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Exact links through shared points within ``radius / 2`` (an even radius)."""
-    if radius % 2:
-        raise ValueError("midpoints need an even radius")
-    flips = np.array(
-        [sum(1 << b for b in chosen) for k in range(radius // 2 + 1) for chosen in combinations(range(BITS), k)], np.uint64
-    )
+    """Exact links through shared points: within ``radius // 2`` of one end and the rest of the other."""
+    near, far = radius // 2, radius - radius // 2
+    chosen = [(k, sum(1 << b for b in bits)) for k in range(far + 1) for bits in combinations(range(BITS), k)]
+    flips, inner = np.array([f for _, f in chosen], np.uint64), np.array([k <= near for k, _ in chosen])
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,12 +162,17 @@ def midpoint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
                 some = values[at : at + 256]
                 points = (some[:, None] ^ flips[None, :]).ravel()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(some, len(flips)).view(np.int64)), pa.array(points.view(np.int64))],
-                    names=["fp", "point"],
-                )
-
-    spread = distinct.select("fp").repartition(F.col("fp")).mapInArrow(around, "fp long, point long")
-    least = spread.groupBy("point").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("point", "a")
+                    [
+                        pa.array(np.repeat(some, len(flips)).view(np.int64)), pa.array(points.view(np.int64)),
+                        pa.array(np.tile(inner, len(some))),
+                    ],
+                    names=["fp", "point", "inner"],
+                )
+
+    spread = distinct.select("fp").repartition(F.col("fp")).mapInArrow(around, "fp long, point long, inner boolean")
+    least = spread.groupBy("point").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("a"), F.count(F.lit(1)).alias("n")).filter(
+        "n > 1 and a is not null"
+    ).select("point", "a")
     return (
         spread.join(least, "point").filter("fp <> a").select("a", F.col("fp").alias("b")).distinct()
     )
@@ -192,11 +196,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = state.select("u", "v").unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
-        low = large.groupBy(F.col("v").alias("x")).agg(F.min("u").alias("m"))
-        small = large.join(low, large["v"] == low["x"]).select(
-            F.col("m").alias("u"), F.explode(F.array("v", large["u"])).alias("v")
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")))
+        large = spread_join(both.filter("v > u"), low.filter("n > 0"), ["u"], "v").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
+        large = cut(large)
+        low = cut(large.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = spread_join(large, low, ["v"], "u").select(
+            F.col("m").alias("u"), F.explode(F.array("v", "u")).alias("v")
         ).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         state = cut(small)
         now = sums(state)
@@ -221,25 +226,27 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, text: str = "text") ->
     reachable, null only where all are null.
     """
     rows = cut(fingerprints(df.select("doc_id", text), text).select(*row_key(text=text), "fp"))
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")))
     roots = components(links(classes.select("fp"), radius))
-    named = classes.join(roots, classes["fp"] == roots["node"], "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "low"
+    named = cut(
+        classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low", F.col("n").alias("rows"))
     )
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = named.join(lows, "root").select("fp", "root", "component_id")
-    return rows.join(ids, "fp").select("doc_id", "_tkey", "fp", "root", "component_id")
+    lows = cut(named.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    ids = spread_join(named, lows, ["root"], "fp").select("fp", "root", "component_id", F.col("rows").alias("n"))
+    return spread_join(rows, cut(ids), ["fp"], "_tkey").select("doc_id", "_tkey", "fp", "root", "component_id")
 
 
 def representatives(df: DataFrame, radius: int = RADIUS, text: str = "text") -> DataFrame:
     """One row of ``df`` for each group: the least id, then the least text hash.
 
-    Rows without an id stay only where no row of their group has one.
+    Rows without an id stay only where no row of their group has one.  All
+    columns of ``df`` stay.
     """
+    key, doc, other = fresh(df, "_tkey", "_keep", "_kept")
     place = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_tkey")
     keep = near_duplicates(df, radius, text).groupBy("root").agg(F.min(place).alias("at")).select(
-        F.col("at.doc_id").alias("_keep"), F.col("at._tkey").alias("_kept")
+        F.col("at.doc_id").alias(doc), F.col("at._tkey").alias(other)
     )
-    tagged = without(df, ["_tkey", "_keep", "_kept"]).withColumn("_tkey", F.xxhash64(text))
-    some = tagged.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_tkey") == F.col("_kept")), "left_semi")
-    return some.dropDuplicates(["doc_id", "_tkey"]).drop("_tkey")
+    tagged = df.withColumn(key, F.xxhash64(text))
+    some = tagged.join(keep, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(other)), "left_semi")
+    return some.dropDuplicates(["doc_id", key]).drop(key)
