@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
@@ -41,7 +41,9 @@ CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}'|[\"'])*?)>|<[!?/][^>]*>", re.S)
+_OPENS = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+#: The end of a tag, or an attribute's quoted value, which may hold one.
+_STEP = re.compile(r">|=[ \t\n\r\f]*(?:\"[^\"]*\"|'[^']*')")
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 _BLANK = re.compile(r"[ \t\n\r\f\v ]+")
@@ -50,69 +52,149 @@ _BLANK = re.compile(r"[ \t\n\r\f\v ]+")
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    tags: frozenset[str]
+    leaf: str
     names: frozenset[str]
     linked: int
 
 
-def leaf_blocks(html: str) -> list[Block]:
-    """Visible leaf blocks in page order; tolerant of unclosed and stray tags."""
+class Tags:
+    """The tags of a page in order, each found in time that all of them share.
+
+    A quoted value ends a tag's search for ``>`` only where it is closed; if the
+    quotes leave no end at all, the next ``>`` is taken from there on.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last, self.quotes = html, html.rfind(">"), True
+
+    def _end(self, at: int) -> int:
+        """Where the ``>`` of the tag is whose name ends at ``at``; -1 if there is none."""
+        if at > self.last:
+            return -1
+        step = at
+        while self.quotes and (match := _STEP.search(self.html, step)):
+            if match[0] == ">":
+                return match.start()
+            step = match.end()
+        self.quotes = False
+        return self.html.find(">", at)
+
+    def __call__(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """Begin, end, whether it closes, lower-cased name (None: a comment or the like) and attributes."""
+        html = self.html
+        while (begin := html.find("<", at)) >= 0:
+            if html.startswith("<!--", begin):
+                end = html.find("-->", begin + 4)
+                return begin, len(html) if end < 0 else end + 3, False, None, ""
+            if match := _OPENS.match(html, begin):
+                if (end := self._end(match.end())) >= 0:
+                    return begin, end + 1, bool(match[1]), match[2].lower(), html[match.end() : end]
+            elif html[begin + 1 : begin + 2] in ("!", "?", "/") and (end := html.find(">", begin) if begin < self.last else -1) >= 0:
+                return begin, end + 1, False, None, ""
+            at = begin + 1
+        return None
+
+
+class Ancestors:
+    """The open elements, with what is asked of them kept up to date as they come and go."""
+
+    def __init__(self, known: Callable[[str], bool] | None):
+        self.known = known
+        self.stack: list[tuple[str, frozenset[str], frozenset[str]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.containers: list[int] = []
+
+    def push(self, name: str, names: set[str]) -> None:
+        tags, held = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (frozenset(), frozenset())
+        if name not in tags and (not self.known or self.known(f"in={name}")):
+            tags |= {name}
+        new = {n for n in names if n not in held and (not self.known or self.known(f"name={n}"))}
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in CONTAINERS:
+            self.containers.append(len(self.stack))
+        self.stack.append((name, tags, held | new if new else held))
+
+    def top(self) -> tuple[frozenset[str], str, frozenset[str]]:
+        name, tags, names = self.stack[-1] if self.stack else ("", frozenset(), frozenset())
+        return tags, name, names
+
+    def last(self, name: str) -> int:
+        places = self.places.get(name)
+        return places[-1] if places else -1
+
+    def cut(self, at: int) -> None:
+        """Close the element at ``at`` and all inside it."""
+        while len(self.stack) > at:
+            name = self.stack.pop()[0]
+            self.places[name].pop()
+            if name in CONTAINERS:
+                self.containers.pop()
+
+    @property
+    def container(self) -> int:
+        return self.containers[-1] if self.containers else -1
+
+
+def leaf_blocks(html: str, known: Callable[[str], bool] | None = None) -> list[Block]:
+    """Visible leaf blocks in page order; tolerant of unclosed and stray tags.
+
+    Time and memory grow with the page, however deep its elements nest and
+    whatever its quotes.  With ``known``, tags and names that are no known
+    feature are left out of the blocks.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    open_, tag = Ancestors(known), Tags(html)
     parts: list[str] = []
-    links = linked = at = 0
+    unclosed: set[str] = set()
+    linked = at = 0
 
     def flush() -> None:
         nonlocal parts, linked
         text = _BLANK.sub(" ", unescape("".join(parts))).strip()
         if text:
-            out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(n for _, n in stack)), linked))
+            out.append(Block(text, *open_.top(), linked))
         parts, linked = [], 0
 
-    find = _TAG.search
-    while match := find(html, at):
-        if match.start() > at:
-            parts.append(html[at : match.start()])
-            if links:
-                linked += match.start() - at
-        at = match.end()
-        name = match[2]
+    while found := tag(at):
+        begin, end, closes, name, attributes = found
+        if begin > at:
+            parts.append(html[at:begin])
+            if open_.last("a") >= 0:
+                linked += begin - at
+        at = end
         if name is None:
             continue
-        name = name.lower()
         if name == "br":
             parts.append(" ")
             continue
-        if match[1]:
+        if closes:
             if name not in INLINE:
                 flush()
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if where is not None and (name not in INLINE or not any(t in CONTAINERS for t, _ in stack[where + 1 :])):
-                del stack[where:]
-                links = sum(t == "a" for t, _ in stack)
+            where = open_.last(name)
+            if where >= 0 and (name not in INLINE or open_.container <= where):
+                open_.cut(where)
             continue
         if name not in INLINE and name not in RAW:
             flush()
         if name in RAW:
-            if name in FOREIGN and match[3].endswith("/"):
+            if name in FOREIGN and attributes.endswith("/"):
                 continue
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+            close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+            if not close:
+                unclosed.add(name)
             if close or name not in OPEN_ALONE:
                 at = close.end() if close else len(html)
             continue
-        if name in VOID or match[3].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
         closed = CLOSES.get(name, frozenset()) | ({"p"} if name in CLOSES_P else frozenset())
         if closed:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closed:
-                    del stack[i:]
-                    break
-                if stack[i][0] in CONTAINERS:
-                    break
-        names = frozenset(w.lower() for m in _NAME.finditer(match[3]) for w in _WORD.findall(m[1] or m[2] or m[3] or "")) if match[3] else frozenset()
-        stack.append((name, names))
-        links = sum(t == "a" for t, _ in stack)
+            where = max(open_.last(n) for n in closed)
+            if where >= max(0, open_.container):
+                open_.cut(where)
+        names = {w.lower() for m in _NAME.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or "")} if attributes else set()
+        open_.push(name, names)
     parts.append(html[at:])
     flush()
     return out
@@ -122,8 +204,8 @@ def features(blocks: list[Block]) -> list[list[str]]:
     out = []
     for block in blocks:
         words = block.text.count(" ") + 1
-        own = [f"in={t}" for t in set(block.path)] + [f"name={n}" for n in block.names]
-        own.append(f"leaf={block.path[-1] if block.path else ''}")
+        own = [f"in={t}" for t in sorted(block.tags)] + [f"name={n}" for n in sorted(block.names)]
+        own.append(f"leaf={block.leaf}")
         own.append(f"words={min(8, words.bit_length())}")
         own.append(f"links={min(4, 4 * block.linked // max(1, len(block.text)))}")
         if block.text[-1:] in ".!?:;。！？":
@@ -307,7 +389,7 @@ def trained(count: int = 400, seed: int = 7) -> Field:
 
 
 def main_text(html: str, field: Field) -> str:
-    blocks = leaf_blocks(html)
+    blocks = leaf_blocks(html, field.index.__contains__)
     return " ".join(b.text for b, label in zip(blocks, field.decode(features(blocks)), strict=True) if label)
 
 
