@@ -16,12 +16,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import planes, stored, unplanes
 
@@ -35,17 +37,21 @@ SHARD_BYTES = 4 << 20
 SHARD_DOCS = 8192
 #: Windows that a shard maps to its own terms at a time.
 BLOCK_WINDOWS = 200_000
-#: The test set is read by the driver and broadcast: its text must stay below this.
-TEST_SET_BYTES = 256 << 20
+#: The test set is searched in blocks of about this much text, one after the other: a block's windows are broadcast.
+BLOCK_BYTES = 4 << 20
 
 #: Lower-cases A-Z and blanks every other ASCII byte that isn't a letter or digit.
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
 
-INDEX_SCHEMA = (
-    "shard long, doc_ids array<long>, tkeys array<long>, n_words array<int>, terms array<binary>, counts binary, positions binary"
-)
+_ARROW = {"bigint": pa.int64(), "string": pa.string()}
+
+
+def _id(df: DataFrame, name: str) -> tuple[Column, str]:
+    """The id column and its type: integers as ``bigint``, all others as ``string``."""
+    kind = "bigint" if isinstance(df.schema[name].dataType, T.IntegralType) else "string"
+    return F.col(name).cast(kind).alias(name), kind
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,7 +64,7 @@ def _starts(n_words: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(n_words + GAP)[:-1])) if len(n_words) else np.empty(0, np.int64)
 
 
-def _shard(number: int, rows: list[tuple]) -> pa.RecordBatch:
+def _shard(number: int, rows: list[tuple], kind: str) -> pa.RecordBatch:
     n_words = np.array([len(w) for _, _, w in rows], np.int64)
     vocabulary: dict[bytes, int] = {}
     codes = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for _, _, ws in rows for w in ws), np.int64)
@@ -72,7 +78,7 @@ def _shard(number: int, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array([number]),
-            pa.array([[i for i, _, _ in rows]], pa.list_(pa.int64())),
+            pa.array([[i for i, _, _ in rows]], pa.list_(_ARROW[kind])),
             pa.array([[k for _, k, _ in rows]], pa.list_(pa.int64())),
             pa.array([n_words.tolist()], pa.list_(pa.int32())),
             pa.array([list(vocabulary)], pa.list_(pa.binary())),
@@ -98,13 +104,15 @@ def build_index(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BY
                     held.append((doc, key, words_of(value)))
                     size += len(value or "")
                     if size >= shard_bytes or len(held) >= SHARD_DOCS:
-                        yield _shard(number, held)
+                        yield _shard(number, held, kind)
                         number, held, size = number + 1, [], 0
         if held:
-            yield _shard(number, held)
+            yield _shard(number, held, kind)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("_tkey"), text)
-    return stored(rows.mapInArrow(run, INDEX_SCHEMA))
+    doc, kind = _id(docs, "doc_id")
+    rows = docs.select(doc, F.xxhash64(F.col(text)).alias("_tkey"), text)
+    schema = f"shard long, doc_ids array<{kind}>, tkeys array<long>, n_words array<int>, terms array<binary>, counts binary, positions binary"
+    return stored(rows.mapInArrow(run, schema))
 
 
 @dataclass(frozen=True)
@@ -123,12 +131,37 @@ class Windows:
             yield Windows([self.terms[i] for i in used], np.where(matrix >= 0, np.searchsorted(used, matrix), -1), self.items[at : at + size])
 
 
-def windows_of(items: list[tuple[int, str | None]], size: int = WINDOW) -> Windows:
+def segments(items: DataFrame, size: int = WINDOW, most_bytes: int = BLOCK_BYTES // 4) -> DataFrame:
+    """``item_id, part long, words binary``: the items' words, long items in parts that share ``size - 1`` words.
+
+    Every window lies in a part, and only items of fewer words have a shorter part.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, at, part = words_of(value), 0, 0
+                ends = np.cumsum([len(w) + 1 for w in words])
+                while at < len(words) and (not part or at + size <= len(words)):
+                    until = max(at + size, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([item], batch.schema.field(0).type), pa.array([part]), pa.array([b" ".join(words[at:until])])],
+                        names=["item_id", "part", "words"],
+                    )
+                    at, part = until - size + 1, part + 1
+
+    item, kind = _id(items, "item_id")
+    wanted = items.select(item, "text").filter("item_id is not null")
+    return wanted.mapInArrow(run, f"item_id {kind}, part long, words binary")
+
+
+def windows_of(items: list[tuple[object, str | bytes | None]], size: int = WINDOW) -> Windows:
     """All windows of ``size`` words; an item with fewer words, but some, is one window."""
     terms: dict[bytes, int] = {}
     found: dict[tuple[int, ...], set[int]] = {}
     for item, value in items:
-        codes = [terms.setdefault(w, len(terms)) for w in words_of(value)]
+        words = value.split() if isinstance(value, bytes) else words_of(value)
+        codes = [terms.setdefault(w, len(terms)) for w in words]
         for at in range(max(1, len(codes) - size + 1) if codes else 0):
             found.setdefault(tuple(codes[at : at + size]), set()).add(item)
     matrix = np.full((len(found), size), -1, np.int64)
@@ -165,7 +198,7 @@ def proximity_matches(lists: list[np.ndarray], slop: int) -> np.ndarray:
 
 
 def _search_shard(row: dict, blocks: list[Windows], slop: int):
-    """Per document: hit words, items by phrase, items by proximity."""
+    """Where documents start; where hit words begin and end; per document, items by phrase and by proximity."""
     n_words = np.array(row["n_words"], np.int64)
     starts = _starts(n_words)
     counts = unplanes(row["counts"])
@@ -199,50 +232,96 @@ def _search_shard(row: dict, blocks: list[Windows], slop: int):
                 np.add.at(covered, at + len(terms), -1)
                 for d in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
                     exact[d].update(windows.items[w])
-    hit = np.concatenate(([0], np.cumsum(np.cumsum(covered) > 0)))
-    n_hit = hit[np.minimum(starts + n_words, len(hit) - 1)] - hit[starts] if len(n_words) else n_words
-    return n_words, n_hit, exact, near
+    inside = np.concatenate(([0], (np.cumsum(covered) > 0).astype(np.int8), [0]))
+    begins, ends = np.flatnonzero(np.diff(inside) > 0), np.flatnonzero(np.diff(inside) < 0)
+    return starts, begins, ends, exact, near
 
 
-SEARCH_SCHEMA = "doc_id long, _tkey long, n_words long, n_hit long, items array<long>, near_items array<long>"
+def _merged(spans: Column) -> Column:
+    """Length of the union of ``array<struct<a, b>>``."""
+    none = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("total"))
+    return F.aggregate(
+        F.array_sort(spans), none,
+        lambda acc, s: F.struct(
+            F.greatest(acc["end"], s["b"]).alias("end"),
+            (acc["total"] + F.greatest(F.lit(0).cast("long"), s["b"] - F.greatest(acc["end"], s["a"]))).alias("total"),
+        ),
+        lambda acc: acc["total"],
+    )
 
 
-def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """One row per indexed document, also without a match.
+def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per indexed document, also without a match: ``doc_id, _tkey, n_words, n_hit, items, near_items``.
 
     ``n_hit`` counts the document's words inside any exact occurrence of a
     window, ``items`` the items with such an occurrence and ``near_items``
-    those with a window whose words all lie within ``slop`` of its rarest one.
-    The test set is read by the driver, at most ``TEST_SET_BYTES`` of text, and
-    its windows are broadcast; a larger one is searched in several calls.
+    those with a window whose words all lie within ``slop`` of the one that is
+    rarest in the shard.
+    The test set's windows are broadcast in blocks of ``block_bytes`` of text,
+    each found in the whole index; a test set of one block needs no shuffle,
+    and only matches are merged over several.
     Items without an ``item_id`` cannot be named and are ignored: what they
     hold is not found in any document.
     """
     if max(window, slop) >= GAP:
         raise ValueError(f"window and slop must be below {GAP}")
-    wanted = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null")
-    size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > TEST_SET_BYTES:
-        raise ValueError(f"the test set has {size} bytes of text; search it in several calls")
-    found = windows_of([(r[0], r[1]) for r in wanted.collect()], window)
-    part = index.sparkSession.sparkContext.broadcast(list(found.blocks()))
+    kind = _id(items, "item_id")[1]
+    parts = stored(segments(items, window, block_bytes // 4))
+    size = parts.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    spark, found = index.sparkSession, []
+    for number in range(blocks):
+        some = parts.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == number)
+        made = windows_of([(r.item_id, r.words) for r in some.select("item_id", "words").toLocalIterator()], window)
+        here = _search_block(index, spark.sparkContext.broadcast(list(made.blocks())), kind, slop)
+        found.append(stored(here.filter("size(near_items) + size(items) > 0")) if blocks > 1 else here)
+    doc_kind = index.schema["doc_ids"].dataType.elementType.simpleString()
+    if blocks == 1:
+        hits = found[0].withColumn("n_hit", _merged(F.col("spans")))
+    else:
+        hits = reduce(DataFrame.unionByName, found).groupBy("shard", "place").agg(
+            *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")),
+            _merged(F.flatten(F.collect_list("spans"))).alias("n_hit"),
+        )
+        every = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "tkeys", "n_words")).alias("place", "_doc")).select(
+            "shard", "place", F.col("_doc.doc_ids").alias("doc_id"), F.col("_doc.tkeys").alias("_tkey"), F.col("_doc.n_words").cast("long").alias("n_words")
+        )
+        none = F.array().cast(f"array<{kind}>")
+        hits = every.join(hits, ["shard", "place"], "left").withColumns(
+            {"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", none), "near_items": F.coalesce("near_items", none)}
+        )
+    return hits.select(F.col("doc_id").cast(doc_kind).alias("doc_id"), "_tkey", "n_words", "n_hit", "items", "near_items")
+
+
+def _search_block(index: DataFrame, blocks: Broadcast, kind: str, slop: int) -> DataFrame:
+    """Each document's hit spans and items, by its shard and place there."""
+    doc = index.schema["doc_ids"].dataType.elementType.simpleString()
+    span = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 row = {n: c[0].as_py() for n, c in zip(batch.schema.names, batch.slice(at, 1).columns, strict=True)}
-                n_words, n_hit, exact, near = _search_shard(row, part.value, slop)
+                starts, begins, ends, exact, near = _search_shard(row, blocks.value, slop)
+                of = np.searchsorted(starts, begins, "right") - 1
+                spans: list[list[dict]] = [[] for _ in exact]
+                for d, a, b in zip(of.tolist(), (begins - starts[of]).tolist(), (ends - starts[of]).tolist(), strict=True):
+                    spans[d].append({"a": a, "b": b})
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row["doc_ids"], pa.int64()), pa.array(row["tkeys"], pa.int64()),
-                        pa.array(n_words), pa.array(n_hit, pa.int64()),
-                        pa.array([sorted(x) for x in exact], pa.list_(pa.int64())),
-                        pa.array([sorted(x) for x in near], pa.list_(pa.int64())),
+                        pa.array([row["shard"]] * len(exact), pa.int64()), pa.array(range(len(exact)), pa.int32()),
+                        pa.array(row["doc_ids"], _ARROW[doc]), pa.array(row["tkeys"], pa.int64()), pa.array(row["n_words"], pa.int64()),
+                        pa.array(spans, pa.list_(span)),
+                        pa.array([sorted(x) for x in exact], pa.list_(_ARROW[kind])),
+                        pa.array([sorted(x) for x in near], pa.list_(_ARROW[kind])),
                     ],
-                    names=["doc_id", "_tkey", "n_words", "n_hit", "items", "near_items"],
+                    names=["shard", "place", "doc_id", "_tkey", "n_words", "spans", "items", "near_items"],
                 )
 
-    return index.mapInArrow(run, SEARCH_SCHEMA)
+    return index.mapInArrow(
+        run,
+        f"shard long, place int, doc_id {doc}, _tkey long, n_words long, spans array<struct<a:long,b:long>>, items array<{kind}>, near_items array<{kind}>",
+    )
 
 
 def contaminated_keys(docs: DataFrame, items: DataFrame) -> DataFrame:
