@@ -417,7 +417,7 @@ def totals(parts: DataFrame, words: DataFrame, groups: int) -> Totals:
     return Totals(tokens + texts, types + (texts > 0), texts, w[0] + (ends > 0), w[1] + (ends == 1), w[2] + (ends == 2))
 
 
-SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
 
 
 def document_scores(
@@ -425,6 +425,9 @@ def document_scores(
 ) -> DataFrame:
     """One row per row of ``docs``: token counts, the base score and the model's log10 probability.
 
+    ``lattice_score`` is the log10 marginal over all segmentations under the
+    vocabulary's own weights alone, nothing learned.
+
     Null texts are empty (one end token); a null group is one of the rest.
     Repeated rows are scored, and learned from, as often as they occur.  Words
     are kept as bytes, so no hash can confuse two.
@@ -438,26 +441,29 @@ def document_scores(
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         types, total, at = _sum_bucket(table)
-        log_new = Lattice(vocabulary(name), *weights.value).log_probs([w.decode() for w in types]).astype("<f4")
+        vocab, spelled = vocabulary(name), [w.decode() for w in types]
+        log_new = Lattice(vocab, *weights.value).log_probs(spelled).astype("<f4")
+        plain = Lattice(vocab, vocab.start_prior, vocab.cont_prior).log_probs(spelled).astype("<f4")
         return pa.table(
             {
                 "chunk": table.column("chunk"), "places": table.column("places"),
                 "counts": pa.array([planes(total[:, i].ravel(), 8) for i in at], pa.binary()),
                 "scores": pa.array([log_new[i].tobytes() for i in at], pa.binary()),
+                "plain": pa.array([plain[i].tobytes() for i in at], pa.binary()),
             }
         )
 
     answers = parts.filter("bucket >= 0").select("chunk", "bucket", "words", "places", "counts").groupBy("bucket").applyInArrow(
-        answer, "chunk long, places binary, counts binary, scores binary"
+        answer, "chunk long, places binary, counts binary, scores binary, plain binary"
     )
     documents = parts.filter("bucket = -1").select("chunk", "doc_ids", "held", "n_words", "codes")
 
     def finish(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         places = [unplanes(p) for p in right.column("places").to_pylist()]
         size = sum(map(len, places))
-        by_group, log_new = np.zeros((groups, size), np.int64), np.zeros(size)
-        for at, c, s in zip(places, right.column("counts").to_pylist(), right.column("scores").to_pylist(), strict=True):
-            by_group[:, at], log_new[at] = unplanes(c, 8).reshape(groups, -1), np.frombuffer(s, "<f4")
+        by_group, log_new, plain = np.zeros((groups, size), np.int64), np.zeros(size), np.zeros(size)
+        for at, c, s, p in zip(places, *(right.column(x).to_pylist() for x in ("counts", "scores", "plain")), strict=True):
+            by_group[:, at], log_new[at], plain[at] = unplanes(c, 8).reshape(groups, -1), np.frombuffer(s, "<f4"), np.frombuffer(p, "<f4")
         rows = left.to_pylist()[0]
         n_words = np.array(rows["n_words"], np.int64)
         codes, counts = unplanes(rows["codes"]), by_group.sum(axis=0)
@@ -481,6 +487,7 @@ def document_scores(
                 "train_tokens": np.full(len(n_words), known.tokens),
                 "base_score": per_text(np.log10((counts + 1) / whole), np.log10((texts + 1) / whole)),
                 "score": np.logaddexp.reduce(each) / np.log(10),
+                "lattice_score": per_text(plain + np.log(1 - END_OF_TEXT), np.log(END_OF_TEXT)) / np.log(10),
             }
         )
 

@@ -210,6 +210,9 @@ def train(
 ) -> FlatTrees | None:
     """Fit on at most ``sample_rows`` labelled documents, chosen by a hash of the id.
 
+    Of several labels of an id the least counts, and of several texts of an id
+    the one of least hash, so the rows that the driver gets are bounded too.
+
     The sample's ids are the only thing broadcast, and its bound is
     ``sample_rows``.  The cut is the lower of ``MOST_CUT`` and the score that only
     ``spare_good`` of the held-out good rows fall under (two folds).  With
@@ -217,12 +220,15 @@ def train(
     """
     ids = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-        .select("doc_id", "quality")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
+        .groupBy("doc_id")
+        .agg(F.min("quality").alias("quality"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_rows)
-        .dropDuplicates(["doc_id"])
     )
-    rows = _features_of(docs.select("doc_id", text).join(F.broadcast(ids), "doc_id"), text).collect()
+    labelled = docs.select("doc_id", text).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(
+        F.min(F.struct(F.xxhash64(text), text)).alias("one"), F.min("quality").alias("quality")
+    )
+    rows = _features_of(labelled.select(F.col(f"one.{text}").alias(text), "quality"), text).collect()
     if len({r.quality for r in rows}) < 2:
         return None
     rows.sort(key=lambda r: (r.x, r.quality))
