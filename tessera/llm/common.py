@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+
 #: Words are runs of anything but the six ASCII blanks.
 WORD_PATTERN = "[^\x20\x09-\x0d]+"
 
@@ -57,16 +59,37 @@ def shuffle_width(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, parts: str | None = None, most_parts: int = 0) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back.
 
     Like ``cut``, but columnar: for large results that are read more than once.
+    ``parts`` names a column of at most ``most_parts`` values, one folder each,
+    so that readers of one value leave the others alone.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if parts:
+        # One open file for each value spares a sort.
+        was = spark.conf.get(_OPEN_FILES)
+        spark.conf.set(_OPEN_FILES, str(most_parts))
+        try:
+            writer.partitionBy(parts).parquet(path)
+        finally:
+            spark.conf.set(_OPEN_FILES, was)
+    else:
+        writer.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``stored`` made, once nothing can ask for it again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:

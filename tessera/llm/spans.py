@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import fresh, row_key, spread_join, stored, without
+from .common import discard, fresh, row_key, spread_join, stored, without
 
 RUN = 3
 PIECE_WORDS = 16
@@ -54,7 +54,7 @@ LEAST_WORDS = 20
 STRIDE = 64
 SENTENCES = 1 << 40
 #: Parts in which the hashes are counted, and Spark's setting that frees shuffle files when a write ends.
-SLICES = 3
+SLICES = 4
 _GIVE_BACK = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: A sentence with the blanks after it; line ends close one too.
@@ -222,7 +222,8 @@ def repeated_positions(
     df: DataFrame, text: str = "text", size: int = RUN, least_words: int = LEAST_WORDS, sentences: bool = False
 ) -> DataFrame:
     """``doc_id, _tkey, starts array<long>``: places of the non-first repeated runs."""
-    rows = stored(span_rows(df, text, size, least_words, sentences))
+    found = span_rows(df, text, size, least_words, sentences)
+    rows = stored(found.withColumn("slice", F.pmod("h1", F.lit(SLICES)).cast("int")), "slice", SLICES)
     # Half a digest is enough to drop nearly all runs; what it keeps by chance goes below.
     # One slice of the hashes after the other, each giving back its shuffle files, bounds the disk.
     conf, kept = df.sparkSession.conf, []
@@ -230,11 +231,12 @@ def repeated_positions(
     conf.set(_GIVE_BACK, "true")
     try:
         for number in range(SLICES):
-            part = rows.filter(F.pmod("h1", F.lit(SLICES)) == number)
+            part = rows.filter(F.col("slice") == number).drop("slice")
             maybe = stored(part.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
             kept.append(stored(spread_join(part, maybe, ["h1"], "doc_id")))
     finally:
         conf.set(_GIVE_BACK, was)
+    discard(rows)
     some = reduce(DataFrame.unionByName, kept)
     place = F.struct("doc_id", "_tkey", "pos")
     known = stored(
