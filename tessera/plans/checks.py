@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .composites import _AT, _C, _M, _P, _r, shared
-from .inputs import CATEGORIES, PARTS, SQL_FLOWS, SQL_WIDE
+from .inputs import CATEGORIES, HALF, PARTS, SQL_FLOWS, SQL_WIDE
 
 _W = f"WITH {SQL_WIDE}"
 _SUM = " + ".join(PARTS)
@@ -43,14 +43,14 @@ shared("lowest_row", f"{_P}, c AS (SELECT t, count(*) AS n FROM panel GROUP BY t
 shared("column_leaders", f"{_C}, r AS (SELECT seg, 'bal' AS f, corr(bal, spend) AS r FROM cust GROUP BY seg UNION ALL SELECT seg, 'orders', corr(CAST(n_orders AS double), spend) FROM cust GROUP BY seg), k AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY abs(round(r, 6)) DESC, seg) AS n FROM r) SELECT f, seg, {_r('r')} AS r FROM k WHERE n = 1")
 shared("top_neighbors", f"WITH {SQL_FLOWS}, k AS (SELECT a, b, w, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS n FROM both_ways) SELECT a, b, w, CAST(n AS integer) AS place FROM k WHERE n <= 3")
 shared("rank_scores", f"{_C}, k AS (SELECT g, avg(bal) AS a, avg(CAST(n_orders AS double)) AS b FROM cust GROUP BY g), r AS (SELECT g, (rank() OVER (ORDER BY a) - 1) / CAST(count(*) OVER () - 1 AS double) AS x, (rank() OVER (ORDER BY b) - 1) / CAST(count(*) OVER () - 1 AS double) AS y FROM k) SELECT g, {_r('(x + y) / 2')} AS score FROM r")
-shared("flow_examples", f"{_M}, h AS (SELECT id, avg(CASE WHEN t < 12 THEN y END) AS a, avg(CASE WHEN t >= 12 THEN y END) AS b FROM monthly GROUP BY id), d AS (SELECT id, CASE WHEN b > a THEN 'up' ELSE 'down' END AS flow, b - a AS d FROM h WHERE a IS NOT NULL AND b IS NOT NULL), m AS (SELECT *, abs(d - median(d) OVER (PARTITION BY flow)) AS e FROM d), k AS (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY round(e, 9), id) AS n FROM m) SELECT flow, id, {_r('d')} AS d FROM k WHERE n = 1")
+shared("flow_examples", f"{_M}, h AS (SELECT id, avg(CASE WHEN t < {HALF} THEN y END) AS a, avg(CASE WHEN t >= {HALF} THEN y END) AS b FROM monthly GROUP BY id), d AS (SELECT id, CASE WHEN b > a THEN 'up' ELSE 'down' END AS flow, b - a AS d FROM h WHERE a IS NOT NULL AND b IS NOT NULL), m AS (SELECT *, abs(d - median(d) OVER (PARTITION BY flow)) AS e FROM d), k AS (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY round(e, 9), id) AS n FROM m) SELECT flow, id, {_r('d')} AS d FROM k WHERE n = 1")
 
 # ---- group and series measures ----------------------------------------------
 shared("group_share_of_variance", f"{_M}, d AS (SELECT t, y - avg(y) OVER (PARTITION BY id) AS d FROM monthly), c AS (SELECT d, avg(d) OVER (PARTITION BY t) AS m FROM d) SELECT {_r('sum(m * m) / sum(d * d)')} AS share, count(*) AS n FROM c")
 shared("row_correlations", f"{_M}, c AS (SELECT t, avg(y) AS m FROM monthly GROUP BY t) SELECT id, {_r('corr(y, m)')} AS r, count(*) AS n FROM monthly JOIN c ON monthly.t = c.t GROUP BY id HAVING count(*) >= 3")
 shared("common_month_excess", f"{_M}, d AS (SELECT t, y - avg(y) OVER (PARTITION BY id) AS d FROM monthly) SELECT t % 12 AS m, {_r('avg(d)')} AS excess, count(*) AS n FROM d GROUP BY 1")
 shared("december_peak", f"{_M}, d AS (SELECT id, CASE WHEN t % 12 = 11 THEN 1 ELSE 0 END AS dec_, y FROM monthly) SELECT id, {_r('avg(CASE WHEN dec_ = 1 THEN y END) - avg(CASE WHEN dec_ = 0 THEN y END)')} AS excess FROM d GROUP BY id")
-shared("target_change", f"{_M}, h AS (SELECT id, sum(CASE WHEN t < 12 THEN v END) AS a, sum(CASE WHEN t >= 12 THEN v END) AS b FROM monthly GROUP BY id) SELECT id, {_r('ln(1 + b) - ln(1 + a)')} AS d FROM h WHERE a IS NOT NULL AND b IS NOT NULL")
+shared("target_change", f"{_M}, h AS (SELECT id, sum(CASE WHEN t < {HALF} THEN v END) AS a, sum(CASE WHEN t >= {HALF} THEN v END) AS b FROM monthly GROUP BY id) SELECT id, {_r('ln(1 + b) - ln(1 + a)')} AS d FROM h WHERE a IS NOT NULL AND b IS NOT NULL")
 shared("part_stability", f"{_W}, y AS (SELECT id, CAST(floor(t / 12.0e0) AS integer) AS yr, {', '.join(f'sum({p}) AS {p}' for p in PARTS)} FROM full_ GROUP BY 1, 2), s AS (SELECT id, yr, p1 / ({_SUM}) AS s FROM y), r AS (SELECT rank() OVER (ORDER BY a.s) AS x, rank() OVER (ORDER BY b.s) AS z FROM s a JOIN s b ON a.id = b.id AND a.yr = 0 AND b.yr = 1) SELECT {_r('corr(x, z)')} AS rho, count(*) AS n FROM r")
 shared("adjacent_change", f"{_M}, q AS (SELECT id, CAST(floor(t / 3.0e0) AS integer) AS win, sum(v) AS v FROM monthly GROUP BY 1, 2), l AS (SELECT id, win, ntile(3) OVER (PARTITION BY win ORDER BY v, id) AS label FROM q) SELECT a.win, CAST(a.label AS integer) AS label, count(*) AS n, count(CASE WHEN a.label < b.label THEN 1 END) AS up, count(CASE WHEN a.label > b.label THEN 1 END) AS down FROM l a JOIN l b ON a.id = b.id AND b.win = a.win + 1 GROUP BY 1, 2")
 shared("clipped_values", f"{_C}, q AS (SELECT min(CASE WHEN c >= 0.05e0 THEN bal END) AS lo, min(CASE WHEN c >= 0.95e0 THEN bal END) AS hi FROM (SELECT bal, cume_dist() OVER (ORDER BY bal) AS c FROM cust) t) SELECT id, least(greatest(bal, lo), hi) AS bal FROM cust CROSS JOIN q")

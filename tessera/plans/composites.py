@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from .base import query
-from .inputs import SQL_CUSTOMERS, SQL_FLOWS, SQL_MONTHLY, SQL_PANEL, read
+from .inputs import HALF, SQL_CUSTOMERS, SQL_FLOWS, SQL_MONTHLY, SQL_PANEL, read
 
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels conversations".split()
 
@@ -81,7 +81,7 @@ shared("split_half_reliability", f"{_M}, h AS (SELECT id, avg(CASE WHEN t % 2 =
 shared("adjusted_r2", f"{_C}, f AS (SELECT regr_r2(spend, bal) AS r2, count(*) AS n FROM cust) SELECT {_r('r2')} AS r2, {_r('1 - (1 - r2) * (n - 1) / CAST(n - 2 AS double)')} AS adj FROM f")
 shared("group_dummy_gain", f"{_C}, d AS (SELECT n_orders - avg(CAST(n_orders AS double)) OVER () AS y, bal - avg(bal) OVER () AS x, n_orders - avg(CAST(n_orders AS double)) OVER (PARTITION BY seg) AS yw, bal - avg(bal) OVER (PARTITION BY seg) AS xw FROM cust), s AS (SELECT sum(y * y) AS t, sum(y * y) - sum(x * y) * sum(x * y) / sum(x * x) AS e0, sum(yw * yw) - sum(xw * yw) * sum(xw * yw) / sum(xw * xw) AS e1 FROM d) SELECT {_r('(e0 - e1) / t')} AS gain FROM s")
 shared("interaction_shares", f"{_C}, s AS (SELECT seg, g, count(*) AS n FROM cust GROUP BY seg, g) SELECT seg, count(CASE WHEN share >= 0.05e0 THEN 1 END) AS big FROM (SELECT seg, n / CAST(sum(n) OVER (PARTITION BY seg) AS double) AS share FROM s) t GROUP BY seg")
-shared("matched_placebo", f"{_M}, h AS (SELECT id, avg(CASE WHEN t < 12 AND t % 2 = 0 THEN y END) AS a0, avg(CASE WHEN t < 12 AND t % 2 = 1 THEN y END) AS a1, avg(CASE WHEN t >= 12 THEN y END) AS b FROM monthly GROUP BY id) SELECT {_r('avg(abs(b - (a0 + a1) / 2))')} AS change, {_r('avg(abs(a0 - a1))')} AS noise, count(*) AS n FROM h WHERE a0 IS NOT NULL AND a1 IS NOT NULL AND b IS NOT NULL")
+shared("matched_placebo", f"{_M}, h AS (SELECT id, avg(CASE WHEN t < {HALF} AND t % 2 = 0 THEN y END) AS a0, avg(CASE WHEN t < {HALF} AND t % 2 = 1 THEN y END) AS a1, avg(CASE WHEN t >= {HALF} THEN y END) AS b FROM monthly GROUP BY id) SELECT {_r('avg(abs(b - (a0 + a1) / 2))')} AS change, {_r('avg(abs(a0 - a1))')} AS noise, count(*) AS n FROM h WHERE a0 IS NOT NULL AND a1 IS NOT NULL AND b IS NOT NULL")
 shared("events_by_threshold", f"{_M}, q AS (SELECT id, CAST(floor(t / 12.0e0) AS integer) AS win, sum(v) AS v FROM monthly GROUP BY 1, 2), l AS (SELECT id, win, ntile(4) OVER (PARTITION BY win ORDER BY v, id) AS label FROM q), c AS (SELECT a.label AS x, b.label AS y, count(*) AS c FROM l a JOIN l b ON a.id = b.id AND a.win = 0 AND b.win = 1 GROUP BY 1, 2), j AS (SELECT x, y, c / CAST(sum(c) OVER (PARTITION BY x) + sum(c) OVER (PARTITION BY y) - c AS double) AS j FROM c) SELECT tau, count(CASE WHEN j >= tau THEN 1 END) AS links FROM j CROSS JOIN (SELECT 0.2e0 AS tau UNION ALL SELECT 0.4e0 UNION ALL SELECT 0.6e0) t GROUP BY tau")
 shared("quantile_regression_bins", f"{_C}, b AS (SELECT ntile(10) OVER (ORDER BY spend, id) AS bin, spend, bal FROM cust) SELECT CAST(bin AS integer) AS bin, {_r('avg(spend)', 4)} AS spend, {_r('avg(bal)', 4)} AS bal, count(*) AS n FROM b GROUP BY bin")
 shared("chance_jaccard", f"WITH {SQL_FLOWS}, perm AS (SELECT id, row_number() OVER (ORDER BY md5(CAST(id AS string)), id) - 1 AS p FROM (SELECT n_nationkey AS id FROM nation) n), moved AS (SELECT least(x.p, y.p) AS a, greatest(x.p, y.p) AS b FROM strong JOIN perm x ON strong.a = x.id JOIN perm y ON strong.b = y.id), both_ AS (SELECT count(*) AS n FROM moved JOIN strong ON moved.a = strong.a AND moved.b = strong.b), m AS (SELECT count(*) AS m FROM strong) SELECT {_r('n / CAST(2 * m - n AS double)')} AS jaccard FROM both_ CROSS JOIN m")

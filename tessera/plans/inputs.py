@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import month_ordinal
 
-BASE_YEAR, MONTHS = 1995, 24
+#: The panel's months are those of ``orders``, 1995-01 to 2001-08; halves of them are compared where two periods are.
+BASE_YEAR, MONTHS = 1995, 80
+HALF = MONTHS // 2
 #: Order priorities, the panel's categories, in order; and their short names.
 CATEGORIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 PARTS = ["p1", "p2", "p3", "p4", "p5"]
@@ -19,9 +21,8 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 
 
 def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id, g, t, cat, price`` of every order in the panel's months."""
+    """``id, g, t, cat, price`` of every order."""
     orders = read(spark, sf_dir, "orders", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
-    orders = orders.filter(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz"))
     customers = read(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     nations = read(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")
     return (
@@ -90,8 +91,7 @@ def strong_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_ORDERS = """ord AS (
   SELECT c_nationkey AS id, n_regionkey AS g, CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS integer) AS t,
          o_orderpriority AS cat, o_totalprice AS price
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-  WHERE o_orderdate < TIMESTAMP '1997-01-01')"""
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 SQL_PANEL = SQL_ORDERS + ",\npanel AS (SELECT id, g, t, cat, round(sum(price), 2) AS v FROM ord GROUP BY id, g, t, cat)"
 SQL_MONTHLY = SQL_ORDERS + ",\nmonthly AS (SELECT *, ln(v) AS y FROM (SELECT id, g, t, round(sum(price), 2) AS v FROM ord GROUP BY id, g, t))"
 SQL_CUSTOMERS = """cust AS (

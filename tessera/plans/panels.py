@@ -12,7 +12,7 @@ from tessera.operators import panel as P
 from tessera.operators import stats
 
 from .base import query
-from .inputs import CATEGORIES, MONTHS, PARTS, SQL_MONTHLY, SQL_ORDERS, SQL_PANEL, SQL_WIDE, monthly, orders_by_nation, panel, read
+from .inputs import CATEGORIES, HALF, MONTHS, PARTS, SQL_MONTHLY, SQL_ORDERS, SQL_PANEL, SQL_WIDE, monthly, orders_by_nation, panel, read
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -115,7 +115,8 @@ def residual_category(spark, sf_dir):
     return rounded(P.add_residual(some.unionByName(whole), "whole"), "v", digits=2).filter("v > 0")
 
 
-_YEARS = "count(*) FILTER (WHERE t < 12) AS y0, count(*) FILTER (WHERE t >= 12) AS y1"
+_YEARS = ", ".join(f"count(*) FILTER (WHERE t >= {12 * y} AND t < {12 * y + 12}) AS y{y}" for y in range(MONTHS // 12))
+_STATUS = f"CASE WHEN n_months = {MONTHS} THEN 'full' " + " ".join(f"WHEN y{y} = 12 AND n_months = 12 THEN 'only_{y}'" for y in range(MONTHS // 12)) + " ELSE 'partial' END"
 _QUALITY = f"""WITH {SQL_PANEL}, m AS (SELECT DISTINCT id, t FROM panel WHERE cat = '1-URGENT'),
     gaps AS (SELECT *, t - lag(t) OVER (PARTITION BY id ORDER BY t) - 1 AS gap FROM m),
     q AS (SELECT id, count(*) AS n_months, min(t) AS first_t, max(t) AS last_t, CAST(coalesce(max(gap), 0) AS integer) AS longest_gap,
@@ -129,16 +130,15 @@ def _quality(spark, sf_dir):
 @query(
     "series_quality",
     f"""{_QUALITY} SELECT id, n_months, first_t, last_t, longest_gap,
-    array_to_string(list_transform(range(24), lambda i: CASE WHEN list_contains(seen, CAST(i AS integer)) THEN '1' ELSE '0' END), '') AS coverage,
-    CASE WHEN n_months = 24 THEN 'full' WHEN y0 = 12 AND n_months = 12 THEN 'only_0' WHEN y1 = 12 AND n_months = 12 THEN 'only_1' ELSE 'partial' END AS status
+    array_to_string(list_transform(range({MONTHS}), lambda i: CASE WHEN list_contains(seen, CAST(i AS integer)) THEN '1' ELSE '0' END), '') AS coverage,
+    {_STATUS} AS status
     FROM q""",
 )
 def series_quality(spark, sf_dir):
     return _quality(spark, sf_dir)
 
 
-@query("series_summary", f"""{_QUALITY} SELECT CASE WHEN n_months = 24 THEN 'full' WHEN y0 = 12 AND n_months = 12 THEN 'only_0'
-    WHEN y1 = 12 AND n_months = 12 THEN 'only_1' ELSE 'partial' END AS status, count(*) AS n FROM q GROUP BY 1""")
+@query("series_summary", f"""{_QUALITY} SELECT {_STATUS} AS status, count(*) AS n FROM q GROUP BY 1""")
 def series_summary(spark, sf_dir):
     return _quality(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -152,11 +152,11 @@ def month_coverage(spark, sf_dir):
     "month_ladder",
     f"""{_QUALITY}, w AS (SELECT id, sum(v) AS w FROM panel GROUP BY id), r AS (SELECT q.id, n_months, coalesce(w, 0.0) AS w FROM q LEFT JOIN w USING (id))
     SELECT CAST(k AS integer) AS k, count(*) FILTER (WHERE n_months >= k) AS n_ids,
-    {_r("sum(CASE WHEN n_months >= k THEN w ELSE 0.0 END) / sum(w)")} AS w_share FROM r, (SELECT unnest([6, 12, 18, 22, 24]) AS k) GROUP BY k""",
+    {_r("sum(CASE WHEN n_months >= k THEN w ELSE 0.0 END) / sum(w)")} AS w_share FROM r, (SELECT unnest([6, 12, 24, 48, 80]) AS k) GROUP BY k""",
 )
 def month_ladder(spark, sf_dir):
     weights = panel(spark, sf_dir).groupBy("id").agg(F.sum("v").alias("w"))
-    return rounded(P.month_ladder(_quality(spark, sf_dir), weights, [6, 12, 18, 22, 24]), "w_share")
+    return rounded(P.month_ladder(_quality(spark, sf_dir), weights, [6, 12, 24, 48, 80]), "w_share")
 
 
 def _window_sql(cases: str) -> str:
@@ -282,10 +282,10 @@ def month_ratio_profile(spark, sf_dir):
     return rounded(agg, "med", "iqr")
 
 
-@query("annual_growth_median", f"""WITH {SQL_MONTHLY}, a AS (SELECT id, sum(CASE WHEN t < 12 THEN v END) AS a0, sum(CASE WHEN t >= 12 THEN v END) AS a1 FROM monthly GROUP BY id)
+@query("annual_growth_median", f"""WITH {SQL_MONTHLY}, a AS (SELECT id, sum(CASE WHEN t < {HALF} THEN v END) AS a0, sum(CASE WHEN t >= {HALF} THEN v END) AS a1 FROM monthly GROUP BY id)
     SELECT {_r("median(a1 / a0 - 1)")} AS growth, count(*) AS n FROM a WHERE a0 > 0 AND a1 IS NOT NULL""")
 def annual_growth_median(spark, sf_dir):
-    a = monthly(spark, sf_dir).groupBy("id").agg(F.sum(F.when(F.col("t") < 12, F.col("v"))).alias("a0"), F.sum(F.when(F.col("t") >= 12, F.col("v"))).alias("a1"))
+    a = monthly(spark, sf_dir).groupBy("id").agg(F.sum(F.when(F.col("t") < HALF, F.col("v"))).alias("a0"), F.sum(F.when(F.col("t") >= HALF, F.col("v"))).alias("a1"))
     return rounded(a.filter("a0 > 0 and a1 is not null").agg(F.median(F.col("a1") / F.col("a0") - 1).alias("growth"), F.count(F.lit(1)).alias("n")), "growth")
 
 
