@@ -198,7 +198,10 @@ def connected_components(edges: DataFrame, nodes: DataFrame, most_rounds: int =
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        sc.setCheckpointDir(nodes.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        folder = nodes.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     both = both_ways(edges.withColumn("w", F.lit(1)), "w").select("a", "b").checkpoint()
     labels = nodes.select("id", F.col("id").alias("component")).checkpoint()
     for _ in range(most_rounds):

@@ -5,9 +5,12 @@ A partition table is ``win, id, label``; label -1 is noise.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import connected_components
+
 
 def contingency(x: DataFrame, y: DataFrame) -> DataFrame:
     """``x, y, c``: counts of label pairs over common nodes, noise left out."""
@@ -84,10 +87,25 @@ def transition_matrix(partitions: DataFrame, lag: int = 1) -> DataFrame:
 
 
 def share_changed(partitions: DataFrame) -> DataFrame:
-    """``win, n, changed``: share of nodes whose label differs from the window before."""
+    """``win, n, changed``: share of nodes that leave their cluster from one window to the next.
+
+    Labels are names only: the two windows' labels are first matched one to one
+    so that most nodes stay.  A window's contingency table, which grows with its
+    labels and not with its nodes, is one group.
+    """
     before = partitions.filter("label >= 0").select("id", (F.col("win") + 1).alias("win"), F.col("label").alias("x"))
-    both = partitions.filter("label >= 0").join(before, ["id", "win"])
-    return both.groupBy("win").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") != F.col("x")).cast("double")).alias("changed"))
+    table = partitions.filter("label >= 0").join(before, ["id", "win"]).groupBy("win", "x", F.col("label").alias("y")).agg(
+        F.count(F.lit(1)).alias("c")
+    )
+
+    def matched(rows: pd.DataFrame) -> pd.DataFrame:
+        grid = rows.pivot(index="x", columns="y", values="c").fillna(0).to_numpy()
+        grid = grid.T if grid.shape[0] > grid.shape[1] else grid
+        stay = sum(grid[i][j] for i, j in _assignment((-grid).tolist()))
+        n = int(rows["c"].sum())
+        return pd.DataFrame({"win": rows["win"].iloc[:1], "n": [n], "changed": [1 - stay / n]})
+
+    return table.groupBy("win").applyInPandas(matched, f"win {partitions.schema['win'].dataType.simpleString()}, n long, changed double")
 
 
 def stable_halves(halves: DataFrame) -> DataFrame:
@@ -106,30 +124,26 @@ def stable_halves(halves: DataFrame) -> DataFrame:
 def cluster_events(matrix: DataFrame, tau: float) -> DataFrame:
     """``side, label, event`` from links of Jaccard ``tau`` or more between two partitions.
 
-    One link on both ends: ``survive``; several out of one old cluster:
-    ``split``; several into one new: ``merge``; both in one component:
-    ``reorganise``; none: ``disappear`` or ``emerge``.
+    Clusters joined by links form components, and all of a component share its
+    event: one old and one new, ``survive``; one old and several new, ``split``;
+    several old and one new, ``merge``; several of both, ``reorganise``.  Without
+    a link an old cluster is ``disappear`` and a new one ``emerge``.
     """
-    links = matrix.filter(F.col("jaccard") >= tau).select("x", "y")
-    out = links.withColumn("dx", F.count(F.lit(1)).over(Window.partitionBy("x"))).withColumn("dy", F.count(F.lit(1)).over(Window.partitionBy("y")))
-    # Degrees of the far ends tell stars from larger components.
-    agg_x = out.groupBy(F.col("x").alias("label")).agg(F.max("dx").alias("own"), F.max("dy").alias("far"))
-    agg_y = out.groupBy(F.col("y").alias("label")).agg(F.max("dy").alias("own"), F.max("dx").alias("far"))
-    old = matrix.select(F.col("x").alias("label")).distinct().join(agg_x, "label", "left")
-    new = matrix.select(F.col("y").alias("label")).distinct().join(agg_y, "label", "left")
-
-    def event(many: str, joined: str, none: str):
-        return (
-            F.when(F.col("own").isNull(), none)
-            .when((F.col("own") == 1) & (F.col("far") == 1), "survive")
-            .when((F.col("own") > 1) & (F.col("far") == 1), many)
-            .when((F.col("own") == 1) & (F.col("far") > 1), joined)
-            .otherwise("reorganise")
-        )
-
-    return old.select(F.lit("old").alias("side"), "label", event("split", "merge", "disappear").alias("event")).unionByName(
-        new.select(F.lit("new").alias("side"), "label", event("merge", "split", "emerge").alias("event"))
+    # Old clusters are even nodes, new ones odd.
+    links = matrix.filter(F.col("jaccard") >= tau).select((F.col("x") * 2).alias("a"), (F.col("y") * 2 + 1).alias("b"))
+    nodes = matrix.select(F.explode(F.array(F.col("x") * 2, F.col("y") * 2 + 1)).alias("id")).distinct()
+    found = connected_components(links, nodes)
+    sizes = found.groupBy("component").agg(F.count_if(F.col("id") % 2 == 0).alias("old"), F.count_if(F.col("id") % 2 == 1).alias("new"))
+    event = (
+        F.when(F.col("new") == 0, "disappear")
+        .when(F.col("old") == 0, "emerge")
+        .when((F.col("old") == 1) & (F.col("new") == 1), "survive")
+        .when(F.col("old") == 1, "split")
+        .when(F.col("new") == 1, "merge")
+        .otherwise("reorganise")
     )
+    side = F.when(F.col("id") % 2 == 0, "old").otherwise("new")
+    return found.join(sizes, "component").select(side.alias("side"), F.floor(F.col("id") / 2).cast("long").alias("label"), event.alias("event"))
 
 
 def nearest_center(points: DataFrame, centers: DataFrame) -> DataFrame:

@@ -152,11 +152,19 @@ def tree_kappa(spark, sf_dir):
 
 @query("closed_itemsets")
 def closed_itemsets(spark, sf_dir):
-    """Frequent sets of customers' traits."""
+    """Frequent sets of customers' traits that no larger set matches in support.
+
+    If any larger set has the same support, one with a single trait more does,
+    so each set is compared with the sets that it leaves when a trait is dropped.
+    """
     c = customers(spark, sf_dir)
     traits = F.array_compact(F.array(F.col("seg"), F.when(F.col("bal") > 5000, "rich"), F.when(F.col("n_orders") > 10, "busy"), F.when(F.col("n_orders") == 0, "idle")))
     sets = FPGrowth(itemsCol="items", minSupport=0.05).fit(c.select(traits.alias("items"))).freqItemsets
-    return sets.select(F.array_join(F.array_sort("items"), ";").alias("items"), F.col("freq").alias("n"))
+    named = sets.select(F.array_sort("items").alias("traits"), F.col("freq").alias("n"))
+    smaller = named.select(
+        F.explode(F.transform("traits", lambda t: F.array_join(F.array_remove("traits", t), ";"))).alias("items"), "n"
+    ).distinct()
+    return named.select(F.array_join("traits", ";").alias("items"), "n").join(smaller, ["items", "n"], "left_anti")
 
 
 @query("leiden_types")

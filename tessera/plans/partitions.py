@@ -115,7 +115,10 @@ def transition_matrix(spark, sf_dir):
     return T.transition_matrix(_track(spark, sf_dir))
 
 
-@query("share_changed", f"{_TRACK} SELECT n.win, count(*) AS n, {_r('avg(CASE WHEN n.label <> p.label THEN 1.0 ELSE 0.0 END)')} AS changed FROM trk p JOIN trk n ON p.id = n.id AND n.win = p.win + 1 GROUP BY 1")
+@query("share_changed", f"""{_TRACK}, m AS (SELECT n.win, p.label AS x, n.label AS y, count(*) AS c FROM trk p JOIN trk n ON p.id = n.id AND n.win = p.win + 1 GROUP BY 1, 2, 3),
+perms AS (SELECT * FROM (VALUES (0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)) AS v(p0, p1, p2)),
+kept AS (SELECT win, p0, p1, sum(CASE WHEN y = CASE x WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END THEN c ELSE 0 END) AS stay, sum(c) AS n FROM m, perms GROUP BY 1, 2, 3)
+SELECT win, CAST(max(n) AS bigint) AS n, {_r('1 - max(stay) / CAST(max(n) AS double)')} AS changed FROM kept GROUP BY 1""")
 def share_changed(spark, sf_dir):
     return rounded(T.share_changed(_track(spark, sf_dir)), "changed")
 
@@ -128,15 +131,16 @@ def stable_halves(spark, sf_dir):
     return T.stable_halves(h)
 
 
-_EVENT = _TRACK + """, ev0 AS (SELECT p.label AS x, n.label AS y, count(*) AS c FROM trk p JOIN trk n ON p.id = n.id AND p.win = 0 AND n.win = 7 GROUP BY 1, 2),
+_EVENT = _TRACK.replace("WITH", "WITH RECURSIVE", 1) + """, ev0 AS (SELECT p.label AS x, n.label AS y, count(*) AS c FROM trk p JOIN trk n ON p.id = n.id AND p.win = 0 AND n.win = 7 GROUP BY 1, 2),
 ev AS (SELECT x, y, c / CAST(sum(c) OVER (PARTITION BY x) + sum(c) OVER (PARTITION BY y) - c AS double) AS jaccard FROM ev0),
-lk AS (SELECT x, y, count(*) OVER (PARTITION BY x) AS dx, count(*) OVER (PARTITION BY y) AS dy FROM ev WHERE jaccard >= 0.25e0),
-ox AS (SELECT o.x AS label, max(dx) AS own, max(dy) AS far FROM (SELECT DISTINCT x FROM ev) o LEFT JOIN lk ON lk.x = o.x GROUP BY 1),
-ny AS (SELECT o.y AS label, max(dy) AS own, max(dx) AS far FROM (SELECT DISTINCT y FROM ev) o LEFT JOIN lk ON lk.y = o.y GROUP BY 1)"""
-_CASE = "CASE WHEN own IS NULL THEN '{}' WHEN own = 1 AND far = 1 THEN 'survive' WHEN own > 1 AND far = 1 THEN '{}' WHEN own = 1 AND far > 1 THEN '{}' ELSE 'reorganise' END"
+lk AS (SELECT 'o' || x AS a, 'n' || y AS b FROM ev WHERE jaccard >= 0.25e0), lk2 AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk),
+nd AS (SELECT DISTINCT 'o' || x AS a, 'old' AS side, x AS label FROM ev UNION SELECT DISTINCT 'n' || y, 'new', y FROM ev),
+reach AS (SELECT a, a AS b FROM nd UNION SELECT r.a, l.b FROM reach r JOIN lk2 l ON r.b = l.a),
+sz AS (SELECT a, count(*) FILTER (WHERE b LIKE 'o%') AS n_old, count(*) FILTER (WHERE b LIKE 'n%') AS n_new FROM reach GROUP BY a)"""
 
 
-@query("cluster_events", f"{_EVENT} SELECT 'old' AS side, label, {_CASE.format('disappear', 'split', 'merge')} AS event FROM ox UNION ALL SELECT 'new', label, {_CASE.format('emerge', 'merge', 'split')} FROM ny")
+@query("cluster_events", f"""{_EVENT} SELECT side, label, CASE WHEN n_new = 0 THEN 'disappear' WHEN n_old = 0 THEN 'emerge' WHEN n_old = 1 AND n_new = 1 THEN 'survive'
+    WHEN n_old = 1 THEN 'split' WHEN n_new = 1 THEN 'merge' ELSE 'reorganise' END AS event FROM nd JOIN sz USING (a)""")
 def cluster_events(spark, sf_dir):
     t = _track(spark, sf_dir)
     table = T.contingency(t.filter("win = 0").select("id", "label"), t.filter("win = 7").select("id", "label"))
