@@ -72,6 +72,27 @@ def month_fields(date: str) -> dict[str, Column]:
     }
 
 
+def month_columns(date: str, first_year: int, last_year: int) -> dict[str, Column]:
+    """``t`` (months since January of the first year), ``year`` and ``month`` of ``YYYY-MM``; others, and other years, raise."""
+    fields = month_fields(date)
+    ok = fields["year"].between(first_year, last_year)
+    t = F.when(ok, (fields["year"] - first_year) * 12 + fields["month"] - 1).otherwise(
+        F.raise_error(F.concat(F.lit("no month of the panel: "), F.coalesce(col(date), F.lit("null"))))
+    )
+    return {"t": t.cast("int"), **fields}
+
+
+def section_letter(label: str | Column, total: str, pattern: str, alike: Mapping[str, str]) -> Column:
+    """The pattern's group, look-alike letters replaced; ``TOTAL`` for exactly the total's label; null without a match."""
+    found = F.translate(F.regexp_extract(col(label), pattern, 1), "".join(alike), "".join(alike.values()))
+    return F.when(col(label) == total, F.lit("TOTAL")).otherwise(F.nullif(found, F.lit("")))
+
+
+def dummies(c: str | Column, values: Sequence[str], prefix: str) -> dict[str, Column]:
+    """A 0/1 column for each value but the first; null counts as none of them."""
+    return {f"{prefix}{i}": F.coalesce((col(c) == v).cast("int"), F.lit(0)) for i, v in enumerate(values) if i}
+
+
 def month_ordinal(ts: str | Column, base_year: int) -> Column:
     return ((F.year(col(ts)) - base_year) * 12 + F.month(col(ts)) - 1).cast("int")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import version_distance
@@ -191,3 +191,34 @@ def renormalised_shares(df: DataFrame, key: Sequence[str], value: str, whole: st
     share = F.try_divide(F.col(value), F.col(whole))
     rows = df.withColumn("_s", share).withColumn("_sum", F.sum("_s").over(Window.partitionBy(*key)))
     return rows.withColumn("share", F.col("_s") / F.greatest(F.col("_sum"), F.lit(1.0))).drop("_s", "_sum")
+
+
+def month_list(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
+    """``t, ym``: every month of the years, from 0."""
+    months = (last_year - first_year + 1) * 12
+    start = F.make_date(F.lit(first_year), F.lit(1), F.lit(1))
+    return spark.range(months).select(F.col("id").cast("int").alias("t"), F.date_format(F.add_months(start, F.col("id").cast("int")), "yyyy-MM").alias("ym"))
+
+
+def lookup_codes(rows: DataFrame, code: str, mapping: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``name`` from ``mapping`` (``code``, ``name``); a code that it lacks raises, null stays null."""
+    named = mapping.select(F.col(code).alias("_code"), F.col(name).alias("_name"))
+    found = rows.join(named, rows[code] == F.col("_code"), "left")
+    value = F.when(F.col(code).isNull() | F.col("_code").isNotNull(), F.col("_name")).otherwise(
+        F.raise_error(F.concat(F.lit("no entry for code "), F.col(code).cast("string")))
+    )
+    return found.withColumn(name, value).drop("_code", "_name")
+
+
+def relative_density(df: DataFrame, size: str, area: str, group: str) -> DataFrame:
+    """``df`` with ``density``: ln of size over area, less its group's median; null unless both are positive."""
+    ln = F.when((F.col(size) > 0) & (F.col(area) > 0), F.ln(F.col(size) / F.col(area)))
+    logged = df.withColumn("_ln", ln)
+    middle = logged.groupBy(F.col(group).alias("_g")).agg(F.median("_ln").alias("_m"))
+    return logged.join(middle, F.col(group).eqNullSafe(F.col("_g"))).withColumn("density", F.col("_ln") - F.col("_m")).drop("_ln", "_g", "_m")
+
+
+def signatures(rows: DataFrame, key: str, dims: Sequence[str]) -> DataFrame:
+    """``key, signature``: the distinct values of ``dims``, sorted, as ``a=b;...``: equal for keys with the same rows."""
+    pair = F.concat_ws("=", *[F.coalesce(F.col(d).cast("string"), F.lit("")) for d in dims])
+    return rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(pair)), ";").alias("signature"))
