@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import checks, composites, derived, models, networks, panels, partitions, protocols, resolution, sampling, statistics
+from . import analyses, derived, models, networks, panels, partitions, protocols, resolution, sampling, statistics, verification
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "checks", "composites", "derived", "models", "networks", "panels", "partitions", "protocols", "resolution", "sampling", "statistics"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analyses", "derived", "models", "networks", "panels", "partitions", "protocols", "resolution", "sampling", "statistics", "verification"]
