@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import ensure_shared_folder
+
 #: Rows and queries of a block of the neighbour search.
 BLOCK_ROWS, BLOCK_QUERIES = 65536, 4096
 
@@ -194,14 +196,7 @@ def clustering_coefficient(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 50) -> DataFrame:
     """``id, component`` (least id) by min-label rounds with label jumping, each round checkpointed."""
-    sc = nodes.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        folder = nodes.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and sc.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
+    ensure_shared_folder(nodes.sparkSession)
     both = both_ways(edges.withColumn("w", F.lit(1)), "w").select("a", "b").checkpoint()
     labels = nodes.select("id", F.col("id").alias("component")).checkpoint()
     for _ in range(most_rounds):

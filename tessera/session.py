@@ -44,3 +44,14 @@ def ship(spark: SparkSession, package: str = "tessera") -> None:
             out.write(file, file.relative_to(root))
     context.addPyFile(str(path))
     context._tessera_shipped = True
+
+
+def ensure_shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share; a temporary one on a local master only."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
+    return sc.getCheckpointDir()

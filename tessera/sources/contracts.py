@@ -71,6 +71,12 @@ class Contract:
         extra = [c for c in df.columns if c not in {x.name for x in self.columns}] if self.extra_allowed else []
         return df.select(*[F.col(c.name).cast(c.type).alias(c.name) for c in self.columns], *extra)
 
+    def report(self, df: DataFrame) -> DataFrame:
+        """``rule, n``: how many rows break each rule, from one aggregation; all declared columns must be there."""
+        rules = {f"{c.name}: {k}": f for c in self.columns for k, f in c.faults().items()} | {f"rule {k}": ~F.coalesce(F.expr(e), F.lit(False)) for k, e in self.checks.items()}
+        counts = df.agg(*[F.count_if(F.coalesce(f, F.lit(False))).alias(f"_{i}") for i, f in enumerate(rules.values())])
+        return counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"_{i}").alias("n")) for i, k in enumerate(rules)])))
+
     def violations(self, df: DataFrame) -> list[str]:
         """Every violation with its count: one aggregation over rows, one over keys."""
         found = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .contracts import Contract
@@ -16,6 +16,21 @@ def read_table(spark: SparkSession, path: str, contract: Contract, check: bool =
     return contract.validate(df) if check else df
 
 
+def any_of(groups: Sequence[Sequence[tuple[str, str, object]]]) -> Column:
+    """Condition from groups of ``(column, operator, value)``: all of one group hold; it reaches the scan of columnar files."""
+    tests = {
+        "==": lambda c, v: c == v, "!=": lambda c, v: c != v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v,
+        ">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "in": lambda c, v: c.isin(list(v)),
+    }
+    out = F.lit(False)
+    for group in groups:
+        whole = F.lit(True)
+        for name, how, value in group:
+            whole = whole & tests[how](F.col(name), value)
+        out = out | whole
+    return out
+
+
 def write_table(df: DataFrame, path: str, contract: Contract, partition_by: Sequence[str] = ()) -> None:
     """Check first, then write; Spark's committer publishes a job's files at once."""
     writer = contract.validate(contract.coerce(df)).write.mode("overwrite")

@@ -6,11 +6,11 @@ def test_windows_equal_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     spark.read.parquet(src).repartition(3).write.parquet(str(tmp_path / "in" / "a"))
     stream = E.read_events(spark, str(tmp_path / "in" / "a"))
-    E.run_once(E.windowed(stream, late="40 days"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    E.run_once(E.windowed(stream, late="1 day"), str(tmp_path / "out"), str(tmp_path / "ck"))
     # Append mode holds back windows that the watermark hasn't passed.
     got = {(r.start, r.event_type): r.n for r in spark.read.schema("start timestamp, event_type string, n long, users long, value double").parquet(str(tmp_path / "out")).collect()}
     batch = E.windowed(spark.read.parquet(src).withColumn("ts", __import__("pyspark").sql.functions.col("ts").cast("timestamp")))
     want = {(r.start, r.event_type): r.n for r in batch.collect()}
-    assert all(want[k] == n for k, n in got.items())
+    assert len(got) > len(want) / 2 and all(want[k] == n for k, n in got.items())
     E.run_once(E.deduplicated(E.read_events(spark, str(tmp_path / "in" / "a"))), str(tmp_path / "d"), str(tmp_path / "ck2"))
     assert spark.read.parquet(str(tmp_path / "d")).count() == spark.read.parquet(src).count()
