@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import agreements, analyses, derived, feeds, models, networks, panels, partitions, protocols, resolution, sampling, statistics, verification
+from . import agreements, analyses, derived, feeds, lookups, models, networks, panels, partitions, protocols, resolution, sampling, statistics, verification
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "agreements", "analyses", "derived", "feeds", "models", "networks", "panels", "partitions", "protocols", "resolution", "sampling", "statistics", "verification"]
+__all__ = ["ORACLE_SQL", "QUERIES", "agreements", "analyses", "derived", "feeds", "lookups", "models", "networks", "panels", "partitions", "protocols", "resolution", "sampling", "statistics", "verification"]

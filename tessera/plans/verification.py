@@ -158,7 +158,7 @@ def status_counts(spark, sf_dir):
 def typical_examples(spark, sf_dir):
     """Rows nearest to their segment's mean, no two of one nation."""
     c = customers(spark, sf_dir).select("id", "g", "seg", "bal")
-    near = c.join(F.broadcast(c.groupBy("seg").agg(F.avg("bal").alias("m"))), "seg").withColumn("d", F.round(F.abs(F.col("bal") - F.col("m")), 6))
+    near = c.join(c.groupBy("seg").agg(F.avg("bal").alias("m")), "seg").withColumn("d", F.round(F.abs(F.col("bal") - F.col("m")), 6))
     first = near.groupBy("seg", "g").agg(F.min(F.struct("d", "id")).alias("f")).select("seg", "f.d", "f.id")
     return S.top_rows(first, ["seg"], ["d", "id"], 3).select("seg", "id", "place")
 
