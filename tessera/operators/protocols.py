@@ -85,7 +85,7 @@ def z_score(draws: DataFrame, value: str, observed: DataFrame, least_sd: float =
 
 def fixed_track(points: DataFrame, centers: DataFrame) -> DataFrame:
     """``win, id, label``: nearest of fixed prototypes ``label, j, c`` in every window, ties by label."""
-    d = points.join(F.broadcast(centers), "j").groupBy("win", "id", "label").agg(F.sum(_square(F.col("x") - F.col("c"))).alias("d"))
+    d = points.join(centers, "j").groupBy("win", "id", "label").agg(F.sum(_square(F.col("x") - F.col("c"))).alias("d"))
     w = Window.partitionBy("win", "id").orderBy("d", "label")
     return d.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("win", "id", "label")
 

@@ -216,7 +216,7 @@ def quantile_edges(df: DataFrame, value: str, q: int, by: Names = ()) -> DataFra
 
 def assign_bins(df: DataFrame, edges: DataFrame, value: str, by: Names = ()) -> DataFrame:
     """``bin``: number of edges below the value (bins closed on the right, equal values together)."""
-    joined = df.join(F.broadcast(edges), list(by)) if by else df.crossJoin(F.broadcast(edges))
+    joined = df.join(edges, list(by)) if by else df.crossJoin(F.broadcast(edges))
     return joined.withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(value)))).drop("edges")
 
 

@@ -148,7 +148,7 @@ def cluster_events(matrix: DataFrame, tau: float) -> DataFrame:
 
 def nearest_center(points: DataFrame, centers: DataFrame) -> DataFrame:
     """``id, label, d, margin``: nearest of few centres ``label, j, c`` for long points ``id, j, x``, ties by label."""
-    d = points.join(F.broadcast(centers), "j").groupBy("id", "label").agg(F.sum((F.col("x") - F.col("c")) * (F.col("x") - F.col("c"))).alias("d"))
+    d = points.join(centers, "j").groupBy("id", "label").agg(F.sum((F.col("x") - F.col("c")) * (F.col("x") - F.col("c"))).alias("d"))
     w = Window.partitionBy("id").orderBy("d", "label")
     rows = d.select("id", "label", "d", F.row_number().over(w).alias("_n"), F.lead("d").over(w).alias("_next"))
     return rows.filter("_n = 1").select("id", "label", "d", (F.col("_next") - F.col("d")).alias("margin"))

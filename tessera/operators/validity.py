@@ -41,7 +41,7 @@ def silhouette_squared(points: DataFrame) -> DataFrame:
         p.join(moments.select(F.col("label").alias("lb"), "j", "m", "q"), "j")
         .groupBy("id", "label", "lb")
         .agg(F.sum(_square(F.col("x")) - 2 * F.col("x") * F.col("m") + F.col("q")).alias("d"))
-        .join(F.broadcast(size.select(F.col("label").alias("lb"), "n")), "lb")
+        .join(size.select(F.col("label").alias("lb"), "n"), "lb")
     )
     own, same = F.col("label") == F.col("lb"), F.try_divide(F.col("d") * F.col("n"), (F.col("n") - 1).cast("double"))
     agg = near.groupBy("id", "label").agg(F.min(F.when(own, same)).alias("own"), F.min(F.when(~own, F.col("d"))).alias("other"))
