@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.ranks import MAD_FACTOR, avg_rank
 
+from .summaries import ranked
+
 Names = Sequence[str]
 
 
@@ -20,18 +22,29 @@ def _pairs(df: DataFrame, *columns: str) -> DataFrame:
     return df.filter(" and ".join(f"{c} is not null" for c in columns))
 
 
+def _ranks(df: DataFrame, named: dict[str, str], by: Names, *keep: Column | str) -> DataFrame:
+    """``by``, ``keep`` and average ranks ``name: value``; without groups no task holds the whole table."""
+    kept = df.select(*by, *keep, *[F.col(v).alias(f"_{k}") for k, v in named.items()])
+    rest = [c for c in kept.columns if c not in {f"_{k}" for k in named}]
+    if by:
+        return kept.select(*rest, *[avg_rank(f"_{k}", by).alias(k) for k in named])
+    for k in named:
+        kept = ranked(kept, f"_{k}", k)
+    return kept.select(*rest, *named)
+
+
 def spearman(df: DataFrame, x: str, y: str, by: Names = (), least: int = 3) -> DataFrame:
     """Rank correlation over complete pairs; null under ``least`` pairs."""
-    ranked = _pairs(df, x, y).select(*by, avg_rank(x, by).alias("rx"), avg_rank(y, by).alias("ry"))
+    both = _ranks(_pairs(df, x, y), {"rx": x, "ry": y}, by)
     n = F.count(F.lit(1))
-    return ranked.groupBy(*by).agg(F.when(n >= least, F.corr("rx", "ry")).alias("rho"), n.alias("n"))
+    return both.groupBy(*by).agg(F.when(n >= least, F.corr("rx", "ry")).alias("rho"), n.alias("n"))
 
 
 def spearman_within(df: DataFrame, x: str, y: str, group: str, by: Names = ()) -> DataFrame:
     """Correlation of overall ranks centred within groups; groups of one row are left out."""
     w = Window.partitionBy(*by, group)
-    ranked = _pairs(df, x, y, group).select(*by, group, avg_rank(x, by).alias("rx"), avg_rank(y, by).alias("ry"))
-    centred = ranked.select(
+    both = _ranks(_pairs(df, x, y, group), {"rx": x, "ry": y}, by, group)
+    centred = both.select(
         *by, (F.col("rx") - F.avg("rx").over(w)).alias("a"), (F.col("ry") - F.avg("ry").over(w)).alias("b"), F.count(F.lit(1)).over(w).alias("n")
     ).filter("n > 1")
     return centred.groupBy(*by).agg(
@@ -42,8 +55,8 @@ def spearman_within(df: DataFrame, x: str, y: str, group: str, by: Names = ()) -
 
 def partial_spearman(df: DataFrame, x: str, y: str, z: str, by: Names = ()) -> DataFrame:
     """Rank correlation of x and y with the ranks of z partialled out."""
-    r = _pairs(df, x, y, z).select(*by, *[avg_rank(c, by).alias(f"_{i}") for i, c in enumerate((x, y, z))])
-    agg = r.groupBy(*by).agg(F.corr("_0", "_1").alias("xy"), F.corr("_0", "_2").alias("xz"), F.corr("_1", "_2").alias("yz"), F.count(F.lit(1)).alias("n"))
+    r = _ranks(_pairs(df, x, y, z), {f"r{i}": c for i, c in enumerate((x, y, z))}, by)
+    agg = r.groupBy(*by).agg(F.corr("r0", "r1").alias("xy"), F.corr("r0", "r2").alias("xz"), F.corr("r1", "r2").alias("yz"), F.count(F.lit(1)).alias("n"))
     rho = F.try_divide(F.col("xy") - F.col("xz") * F.col("yz"), F.sqrt((1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz"))))
     return agg.select(*by, rho.alias("rho"), "n")
 
@@ -129,10 +142,10 @@ def eta2(df: DataFrame, value: str, group: str, by: Names = ()) -> DataFrame:
 
 def epsilon2(df: DataFrame, value: str, group: str, by: Names = ()) -> DataFrame:
     """Kruskal-Wallis H (with the correction for ties) over ``n - 1``."""
-    ranked = _pairs(df, value, group).select(*by, group, avg_rank(value, by).alias("r"))
-    parts = ranked.groupBy(*by, group).agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("c"))
+    rows = _ranks(_pairs(df, value, group), {"r": value}, by, group)
+    parts = rows.groupBy(*by, group).agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("c"))
     between = parts.groupBy(*by).agg(F.sum(F.col("s") * F.col("s") / F.col("c")).alias("b"), F.sum("c").cast("double").alias("n"))
-    ties = ranked.groupBy(*by, "r").count().groupBy(*by).agg(F.sum(F.pow(F.col("count"), F.lit(3.0)) - F.col("count")).alias("t"))
+    ties = rows.groupBy(*by, "r").count().groupBy(*by).agg(F.sum(F.pow(F.col("count"), F.lit(3.0)) - F.col("count")).alias("t"))
     n = F.col("n")
     h = (12 / (n * (n + 1)) * F.col("b") - 3 * (n + 1)) / F.nullif(1 - F.col("t") / (F.pow(n, F.lit(3.0)) - n), F.lit(0.0))
     joined = between.join(ties, list(by)) if by else between.crossJoin(ties)
@@ -141,8 +154,8 @@ def epsilon2(df: DataFrame, value: str, group: str, by: Names = ()) -> DataFrame
 
 def cliff_delta(df: DataFrame, value: str, high: str, by: Names = ()) -> DataFrame:
     """P(x > y) - P(x < y) for rows with ``high`` true against false; also the rank-sum U and its z."""
-    ranked = _pairs(df, value, high).select(*by, F.col(high).alias("_h"), avg_rank(value, by).alias("r"))
-    agg = ranked.groupBy(*by).agg(
+    rows = _ranks(_pairs(df, value, high), {"r": value}, by, F.col(high).alias("_h"))
+    agg = rows.groupBy(*by).agg(
         F.sum(F.when(F.col("_h"), F.col("r"))).alias("r1"),
         F.count_if("_h").cast("double").alias("n1"), F.count_if(~F.col("_h")).cast("double").alias("n2"),
     )

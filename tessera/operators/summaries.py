@@ -48,6 +48,13 @@ def positions(df: DataFrame, value: str, tie: str, out: str = "pos") -> DataFram
     return running_totals(df, value, tie, {out: F.lit(1).cast("long")}).withColumn(out, F.col(out) - 1)
 
 
+def ranked(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
+    """``df`` with the rank from 1 over the whole table, ties averaged, from counts by value; rows with a null value go."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_z", F.lit(0))
+    upto = running_totals(counted, "__v", "_z", {"_c": F.col("_n")})
+    return df.join(upto.select("__v", (F.col("_c") - (F.col("_n") - 1) / F.lit(2.0)).alias("__r")), F.col(value) == F.col("__v")).withColumn(out, F.col("__r")).drop("__v", "__r")
+
+
 def tiles(df: DataFrame, value: str, tie: str, q: int, out: str = "bin") -> DataFrame:
     """``df`` with ``q`` equal-count bins from 1; the first bins take the rows left over, as SQL's ntile does."""
     placed = beside(positions(df, value, tie, "_p"), F.count(F.lit(1)).alias("_n"))

@@ -62,3 +62,9 @@ def test_empty_table(spark):
     assert S.positions(none, "x", "id").count() == 0
     assert S.tiles(none, "x", "id", 4).count() == 0
     assert S.ordered_superiority(none, [0, 1], "k", "x").count() == 0
+
+
+def test_ranked(df):
+    xs = [r[1] for r in ROWS]
+    want = {r[0]: sum(x < r[1] for x in xs) + (xs.count(r[1]) + 1) / 2 for r in ROWS}
+    assert {r.id: r["rank"] for r in S.ranked(df, "x").collect()} == want
