@@ -23,16 +23,17 @@ def replicates(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def permute_within(df: DataFrame, value: str, key: str, by: Sequence[str], n: int, salt: str = "") -> DataFrame:
-    """``rep, by, key, value`` with the values of each group dealt anew to its rows.
+def permute_within(df: DataFrame, value: str, key: str, by: Sequence[str], n: int, salt: str = "", keep: Sequence[str] = ()) -> DataFrame:
+    """``rep, by, key, keep, value`` with the values of each group dealt anew to its rows.
 
-    Two row numberings of one group are joined; both shuffle on the group.
+    A row's seat is its place by key, the same in every replicate; a seat meets
+    one card a replicate. The planner knows neither the replicates nor the
+    windows' sizes, so the join is told not to broadcast.
     """
-    reps = replicates(df.select(*by, key, value), n)
-    w = Window.partitionBy("rep", *by)
-    seat = reps.select("rep", *by, key, F.row_number().over(w.orderBy(key)).alias("_n"))
-    card = reps.select("rep", *by, value, F.row_number().over(w.orderBy(draw_key(key, "rep", salt), key)).alias("_n"))
-    return seat.join(card, ["rep", *by, "_n"]).drop("_n")
+    seat = df.select(*by, key, *keep, F.row_number().over(Window.partitionBy(*by).orderBy(key)).alias("_n"))
+    dealt = Window.partitionBy("rep", *by).orderBy(draw_key(key, "rep", salt), key)
+    card = replicates(df.select(*by, key, value), n).select("rep", *by, value, F.row_number().over(dealt).alias("_n"))
+    return card.join(seat.hint("merge"), [*by, "_n"]).select("rep", *by, key, *keep, value)
 
 
 def bootstrap_groups(groups: DataFrame, group: str, n: int, salt: str = "") -> DataFrame:

@@ -32,3 +32,21 @@ def test_place_groups_with_customers_without_orders(changed):
     # A group of one customer, and groups in which every customer has spent the same.
     assert changed("place_groups", orders=f"{orders} OR o_custkey > 3") == ""
     assert changed("place_groups", orders="SELECT * REPLACE (1.5 AS o_totalprice) FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey) = 1") == ""
+
+
+def broadcast(df) -> list[str]:
+    """The subtree of every broadcast in the plan before it runs."""
+    lines = df._jdf.queryExecution().sparkPlan().toString().split("\n") + df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-*")) for x in lines]
+    found = []
+    for i in (i for i, x in enumerate(lines) if "BroadcastExchange" in x):
+        end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+        found.append("\n".join(lines[i:end]))
+    return found
+
+
+@pytest.mark.parametrize("name", ["permute_within"])
+def test_no_permuted_rows_are_broadcast(spark, name):
+    # Of the rows beside each other only one-row totals, after an aggregation without keys, may be broadcast.
+    assert not [x for x in broadcast(registry.QUERIES[name](spark, SF)) if "Window" in x]
+    assert not [x for x in broadcast(registry.QUERIES[name](spark, SF)) if "c_acctbal" in x and "Aggregate(keys=[], " not in x]
