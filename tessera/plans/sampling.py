@@ -20,8 +20,8 @@ card AS (SELECT rep, g, n_orders, row_number() OVER (PARTITION BY rep, g ORDER B
 perm AS (SELECT CAST(seat.rep AS integer) AS rep, seat.g, seat.id, card.n_orders FROM seat JOIN card ON seat.rep = card.rep AND seat.g = card.g AND seat.n = card.n)"""
 
 
-def _permuted(spark, sf_dir):
-    return B.permute_within(customers(spark, sf_dir), "n_orders", "id", ["g"], REPS, "p")
+def _permuted(spark, sf_dir, *keep):
+    return B.permute_within(customers(spark, sf_dir), "n_orders", "id", ["g"], REPS, "p", keep)
 
 
 @query("permute_within", f"{_PERM} SELECT rep, g, id, n_orders FROM perm")
@@ -37,8 +37,7 @@ def _high():
 
 
 def _null(spark, sf_dir):
-    bal = customers(spark, sf_dir).select("id", "bal")
-    return _permuted(spark, sf_dir).join(bal, "id").groupBy("rep").agg(_high().alias("d"))
+    return _permuted(spark, sf_dir, "bal").filter("id is not null").groupBy("rep").agg(_high().alias("d"))
 
 
 @query("null_distribution", f"{_NULL} SELECT rep, {_r('d')} AS d FROM stat")
