@@ -45,7 +45,7 @@ def broadcast(df) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["permute_within", "null_distribution"])
+@pytest.mark.parametrize("name", ["permute_within", "null_distribution", "empirical_p"])
 def test_no_permuted_rows_are_broadcast(spark, name):
     # Of the rows beside each other only one-row totals, after an aggregation without keys, may be broadcast.
     assert not [x for x in broadcast(registry.QUERIES[name](spark, SF)) if "Window" in x]
