@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a task sorts, about.
+TASK_ROWS = 131072
+
 
 def draw_key(key: str, rep: str | Column, salt: str = "") -> Column:
     """Sort key of a row in a replicate."""
@@ -28,11 +31,16 @@ def permute_within(df: DataFrame, value: str, key: str, by: Sequence[str], n: in
 
     A row's seat is its place by key, the same in every replicate; a seat meets
     one card a replicate. The planner knows neither the replicates nor the
-    windows' sizes, so the join is told not to broadcast.
+    windows' sizes, so the join is told not to broadcast and the tasks are
+    counted by the cards: sorts of a few large tasks at once overflow a heap.
     """
+    tasks = min(4096, max(1, df.count() * n // TASK_ROWS))
     seat = df.select(*by, key, *keep, F.row_number().over(Window.partitionBy(*by).orderBy(key)).alias("_n"))
     dealt = Window.partitionBy("rep", *by).orderBy(draw_key(key, "rep", salt), key)
-    card = replicates(df.select(*by, key, value), n).select("rep", *by, value, F.row_number().over(dealt).alias("_n"))
+    # Dealt before the draws are made: a draw is longer than its row.
+    rows = replicates(df.select(*by, key, value), n).repartition(tasks, "rep", *by)
+    card = rows.select("rep", *by, value, F.row_number().over(dealt).alias("_n"))
+    card, seat = (x.repartition(tasks, *by, "_n") for x in (card, seat))
     return card.join(seat.hint("merge"), [*by, "_n"]).select("rep", *by, key, *keep, value)
 
 

@@ -7,6 +7,7 @@ import pytest
 from oracle import connect, difference
 
 from tessera.operators import graphs as G
+from tessera.operators import resample as B
 from tessera.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -53,6 +54,15 @@ def test_no_permuted_rows_are_broadcast(spark, name):
     assert not [x for x in broadcast(registry.QUERIES[name](spark, SF)) if "c_acctbal" in x and "Aggregate(keys=[], " not in x]
 
 
+def test_cards_are_dealt_in_tasks_of_bounded_size(spark, changed, monkeypatch):
+    monkeypatch.setattr(B, "TASK_ROWS", 100, raising=False)
+    plan = registry.QUERIES["empirical_p"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # 150 customers in 20 replicates; the cards before and after their draws, and the seats.
+    assert plan.count(", 30), REPARTITION_BY_NUM") == 3
+    customer = "SELECT * REPLACE (CASE WHEN c_custkey % 3 > 0 THEN c_nationkey END AS c_nationkey) FROM customer"
+    assert changed("empirical_p", customer=customer) == ""
+
+
 #: Copies, a zero vector, a null, not-a-number and an infinity among the vectors.
 ODD = """SELECT vec_id, CASE vec_id % 50 WHEN 1 THEN list_transform(embedding, lambda x: 0.0::FLOAT) WHEN 2 THEN NULL
   WHEN 3 THEN list_transform(embedding, lambda x: 'nan'::FLOAT) WHEN 4 THEN list_transform(embedding, lambda x: 'inf'::FLOAT)
