@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 from oracle import connect, difference
+from pyspark import cloudpickle
 
 from tessera.operators import graphs as G
 from tessera.operators import resample as B
@@ -100,3 +101,21 @@ def test_neighbours_within_a_label_in_parts(spark, changed, monkeypatch, name):
     # A vector that is no number must not hide the other neighbours; labels of one to four vectors have short lists.
     assert changed(name, embeddings=f"SELECT * FROM ({ODD}) WHERE embedding IS NOT NULL") == ""
     assert changed(name, embeddings="SELECT * REPLACE (CASE WHEN vec_id < 60 THEN 100 + vec_id // 3 WHEN vec_id = 60 THEN NULL WHEN vec_id = 61 THEN 99 ELSE label END AS label) FROM embeddings") == ""
+
+
+@pytest.mark.parametrize("name", ["k_occurrence"])
+def test_lists_of_many_copies(changed, monkeypatch, name):
+    apart = G._apart
+
+    def few(q, y):
+        # 64 queries at once; with all 1,000 copies they make 64,000 pairs.
+        assert len(q) < 5000
+        return apart(q, y)
+
+    monkeypatch.setattr(G, "_apart", few)
+    cloudpickle.register_pickle_by_value(G)
+    try:
+        copies = "SELECT 10000 + i AS vec_id, embedding, label FROM embeddings, range(1000) t(i) WHERE vec_id = 0"
+        assert changed(name, embeddings=f"SELECT * FROM embeddings UNION ALL {copies}") == ""
+    finally:
+        cloudpickle.unregister_pickle_by_value(G)
