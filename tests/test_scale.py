@@ -103,7 +103,7 @@ def test_neighbours_within_a_label_in_parts(spark, changed, monkeypatch, name):
     assert changed(name, embeddings="SELECT * REPLACE (CASE WHEN vec_id < 60 THEN 100 + vec_id // 3 WHEN vec_id = 60 THEN NULL WHEN vec_id = 61 THEN 99 ELSE label END AS label) FROM embeddings") == ""
 
 
-@pytest.mark.parametrize("name", ["k_occurrence"])
+@pytest.mark.parametrize("name", ["k_occurrence", "mutual_knn_edges"])
 def test_lists_of_many_copies(changed, monkeypatch, name):
     apart = G._apart
 
