@@ -1,14 +1,17 @@
 """Registered queries on inputs that the generated tables do not hold, against their SQL."""
 
+import re
 import shutil
 from pathlib import Path
 
 import pytest
 from oracle import connect, difference
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from tessera.operators import graphs as G
 from tessera.operators import resample as B
+from tessera.operators import stats
 from tessera.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -37,6 +40,30 @@ def test_place_groups_with_customers_without_orders(changed):
     assert changed("place_groups", orders="SELECT * REPLACE (1.5 AS o_totalprice) FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey) = 1") == ""
 
 
+def test_place_groups_by_ranks(spark, changed, tmp_path):
+    # Spending grows with the balance, but not in proportion; every tenth balance is missing.
+    customer = "SELECT * REPLACE (CASE WHEN c_custkey % 10 > 0 THEN c_custkey - 50.5 END AS c_acctbal) FROM customer"
+    orders = "SELECT * REPLACE (exp(o_custkey / 10.0) AS o_totalprice) FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1"
+    assert changed("place_groups", customer=customer, orders=orders) == ""
+    got = {r.place: r.r for r in registry.QUERIES["place_groups"](spark, str(tmp_path)).collect()}
+    assert got["debt"] == got["rest"] == 1.0
+    # Balances and totals that many customers share, and a group with two complete pairs.
+    customer = "SELECT * REPLACE (CASE WHEN c_custkey % 10 > 0 THEN (c_custkey * 7 % 5 + 1.0) * CASE WHEN c_custkey < 3 THEN -1 ELSE 1 END END AS c_acctbal) FROM customer"
+    assert changed("place_groups", customer=customer, orders=orders.replace("exp(o_custkey / 10.0)", "o_custkey * 11 % 4 + 0.5")) == ""
+
+
+def test_place_groups_are_not_tasks(spark):
+    plan = registry.QUERIES["place_groups"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # Only totals of value ranges meet in a window over a whole group.
+    assert set(re.findall(r"windowspecdefinition\(place#\d+, (\w+)", plan)) <= {"__m", "__b"}
+
+
+def test_correlation_of_a_constant_in_parts(spark):
+    # Sums of merged parts leave its variance above 0.
+    rows = spark.range(1000, numPartitions=7).select(F.lit(30.1).alias("x"), F.col("id").cast("double").alias("y"))
+    assert str(rows.agg(stats.pearson("x", "y").alias("r")).first().r) == "nan"
+
+
 def broadcast(df) -> list[str]:
     """The subtree of every broadcast in the plan before it runs."""
     lines = df._jdf.queryExecution().sparkPlan().toString().split("\n") + df._jdf.queryExecution().executedPlan().toString().split("\n")

@@ -68,3 +68,12 @@ def test_ranked(df):
     xs = [r[1] for r in ROWS]
     want = {r[0]: sum(x < r[1] for x in xs) + (xs.count(r[1]) + 1) / 2 for r in ROWS}
     assert {r.id: r["rank"] for r in S.ranked(df, "x").collect()} == want
+
+
+def test_ranked_within_groups(df):
+    got = {r.id: r["rank"] for r in S.ranked_within(df, {"rank": "x"}, ["k"], 4).collect()}
+    want = {900: None}
+    for g in range(3):
+        xs = [r[1] for r in ROWS if r[2] == g]
+        want |= {r[0]: sum(x < r[1] for x in xs) + (xs.count(r[1]) + 1) / 2 for r in ROWS if r[2] == g}
+    assert got == want
